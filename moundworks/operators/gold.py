@@ -15,6 +15,7 @@ from moundworks.constants import BATTER_KEY, FASTBALLS, GAME_KEY
 from moundworks.functions import rules
 from moundworks.functions.numeric import ratio, rnd, sample_std
 from moundworks.operators.rolling import with_context
+from moundworks.sources.store import durable
 
 def _by_type(pitches: DataFrame, swing: Callable[[Column], Column]) -> DataFrame:
     d, zone = F.col("description"), F.col("zone")
@@ -133,8 +134,13 @@ def pitcher_game_summary(
     days: int = 30,
     season: Column | None = None,
 ) -> DataFrame:
-    """Game metrics with their look-back windows, season means and tier."""
-    return with_context(pitcher_game_base(pitches, swing, extras), days, season).withColumn(
+    """Game metrics with their look-back windows, season means and tier.
+
+    The windows read the game rows twice (by day, and to join back), so those
+    are written once instead of scanning the pitches twice.
+    """
+    games = durable(pitcher_game_base(pitches, swing, extras))
+    return with_context(games, days, season).withColumn(
         "performance_tier", rules.performance_tier(F.col("csw_rate"))
     )
 

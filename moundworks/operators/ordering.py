@@ -18,13 +18,6 @@ from moundworks.sources.store import durable
 MAX_GROUP_ROWS = 1_000_000
 
 
-def equal_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join in which a null key equals a null key; keeps the left keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -51,9 +44,12 @@ def ordered_index(
     out: str = "row_idx",
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Zero-based position of each row in its group, ordered by ``order``."""
+    """Zero-based position of each row in its group, ordered by ``order``.
+
+    Without a group the whole table is numbered, always by slices.
+    """
     group = group or []
-    if largest_group(df, group) <= max_group_rows:
+    if group and largest_group(df, group) <= max_group_rows:
         w = Window.partitionBy(*group).orderBy(*_order(order))
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     return _sliced_index(df, order, group, out)
@@ -63,8 +59,8 @@ def _sliced_index(df: DataFrame, order: list[str], group: list[str], out: str) -
     """Position = rows of the group in earlier slices + position in the slice.
 
     The running id keeps copies of one row apart, so copies spread over slices
-    too. Slice numbers come from a sampled range partitioning, hence the
-    checkpoint: both readers below must see the same slices.
+    too. Slice numbers come from a sampled range partitioning, hence the written
+    table: both readers below must see the same slices.
     """
     marked = df.withColumn("_copy", F.monotonically_increasing_id())
     slices = max(

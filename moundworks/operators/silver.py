@@ -39,24 +39,23 @@ def games_on(summary: DataFrame, day=None) -> DataFrame:
     return rows.select("game_date", "game_pk").distinct()
 
 
-def _role(pitches: DataFrame, id_col: str, hand: str, word: str, position: str) -> DataFrame:
-    return (
-        pitches.filter(F.col(id_col).isNotNull())
-        .select(
-            F.col(id_col).alias("player_id"),
-            F.concat(F.lit(f"{word} #"), F.col(id_col).cast("string")).alias("full_name"),
-            F.col(hand).alias("hand"),
-            F.lit(position).alias("position"),
-        )
-        .distinct()
+def _as_player(id_col: str, hand: str, word: str, position: str):
+    return F.struct(
+        F.col(id_col).alias("player_id"),
+        F.concat(F.lit(f"{word} #"), F.col(id_col).cast("string")).alias("full_name"),
+        F.col(hand).alias("hand"),
+        F.lit(position).alias("position"),
     )
 
 
 def players(pitches: DataFrame) -> DataFrame:
-    """One row per player, hand and role."""
-    return _role(pitches, "pitcher_id", "p_throws", "Pitcher", "SP").unionByName(
-        _role(pitches, "batter_id", "stand", "Batter", "POS")
+    """One row per player, hand and role: the pitchers and the batters of all
+    pitches, taken from one scan and made distinct in one shuffle."""
+    both = F.array(
+        _as_player("pitcher_id", "p_throws", "Pitcher", "SP"),
+        _as_player("batter_id", "stand", "Batter", "POS"),
     )
+    return pitches.select(F.inline(both)).filter(F.col("player_id").isNotNull()).distinct()
 
 
 def one_per_player(player_rows: DataFrame, position: str) -> DataFrame:

@@ -18,8 +18,8 @@ def parse_response(df: DataFrame, text: str = "response") -> DataFrame:
     error record that keeps the raw text."""
     raw = F.trim(F.col(text))
     body = F.from_json(raw, INSIGHT_BODY)
-    # a value that is not an object, or cut off, has no top-level keys
-    good = F.json_object_keys(raw).isNotNull()
+    good = F.try_parse_json(raw).isNotNull() & raw.startswith("{")
+    good = F.coalesce(good, F.lit(False))
     fields = {f.name: F.when(good, body[f.name]) for f in INSIGHT_BODY.fields}
     return df.withColumns({
         **fields,

@@ -1,4 +1,4 @@
-"""Where data is kept: durable checkpoints, scratch paths, layer tables."""
+"""Where data is kept: durable intermediate tables, scratch paths, layer tables."""
 
 import tempfile
 import uuid
@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to shared storage: later reads see one fixed set of
-    rows, also after executors were lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Used where a result has several readers: it is computed once, every reader
+    sees the same rows even after executors were lost, and each reader scans
+    only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
