@@ -33,11 +33,11 @@ def tree_nodes(model: PipelineModel) -> DataFrame:
     path = scratch_path(spark, "trees")
     trees.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    weights = spark.read.parquet(f"{path}/treesMetadata").select("treeID", "weights")
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "settings", "weights").drop("settings")
     return nodes.join(F.broadcast(weights), "treeID").select(
         F.col("treeID").alias("tree"), "weights", "id", "prediction", "rawCount", "leftChild", "rightChild",
         F.col("split.featureIndex").alias("feature"),
-        F.element_at("split.leftCategoriesOrThreshold", 1).alias("threshold"),
+        F.get("split.leftCategoriesOrThreshold", 0).alias("threshold"),
     )
 
 

@@ -97,7 +97,8 @@ def _pipeline(params: dict, validation: str | None = None) -> Pipeline:
     trees = GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params)
     if validation:
         # no tolerance: stop only when the validation error stops falling
-        trees = trees.setValidationIndicatorCol(validation).setValidationTol(0.0)
+        trees = trees.setValidationIndicatorCol(validation)
+        trees.set(trees.validationTol, 0.0)
     return Pipeline(stages=[
         Imputer(strategy="median", inputCols=FEATURES, outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="features"),
