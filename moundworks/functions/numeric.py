@@ -3,6 +3,9 @@
 ``ROUND`` is not the same function in every engine, so rounding is spelled out
 as ``floor(x * 10^n + 0.5) / 10^n``. Means of already rounded columns are taken
 over scaled integers, which makes them exact and independent of row order.
+
+The ``sql_`` forms give the same expressions as SQL text. Wide tables are built
+from those: one parsed string per column instead of many Column calls.
 """
 
 from pyspark.sql import Column
@@ -33,3 +36,20 @@ def sample_std(count: Column, total: Column, squares: Column) -> Column:
     n, s, q = (c.cast("double") for c in (count, total, squares))
     spread = F.greatest(n * q - s * s, F.lit(0.0))
     return F.when(n >= 2, F.sqrt(spread / F.nullif(n * (n - 1), F.lit(0.0))))
+
+
+def sql_scaled(expr: str, digits: int) -> str:
+    return f"CAST(floor(CAST({expr} AS DOUBLE) * {10.0**digits}D + 0.5D) AS BIGINT)"
+
+
+def sql_rnd(expr: str, digits: int) -> str:
+    return f"CAST({sql_scaled(expr, digits)} AS DOUBLE) / {10.0**digits}D"
+
+
+def sql_ratio(num: str, den: str) -> str:
+    return f"CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0.0D)"
+
+
+def sql_sample_std(count: str, total: str, squares: str) -> str:
+    n, s, q = (f"CAST({e} AS DOUBLE)" for e in (count, total, squares))
+    return f"CASE WHEN {n} >= 2 THEN sqrt(greatest({n} * {q} - {s} * {s}, 0.0D) / nullif({n} * ({n} - 1), 0.0D)) END"

@@ -38,31 +38,19 @@ def direction(value: Column) -> Column:
     return F.when(value > 0, F.lit(K.UP)).otherwise(F.lit(K.DOWN))
 
 
-def swing_literal(description: Column) -> Column:
-    """Descriptions that carry the word 'swing'."""
-    return description.like("%swing%")
-
-
-def swing_all(description: Column) -> Column:
-    """Every swing: misses, fouls and balls put in play."""
-    return (
-        description.like("swinging_strike%")
-        | description.like("foul%")
-        | description.like("hit_into_play%")
-        | (description == "missed_bunt")
-    )
-
-
-def is_called_or_missed(description: Column) -> Column:
-    return description.isin("called_strike", "swinging_strike")
-
-
-def in_zone(zone: Column) -> Column:
-    return zone.between(1, 9)
-
-
-def out_of_zone(zone: Column) -> Column:
-    return zone.isin(11, 12, 13, 14)
+# Predicates over a pitch, as SQL text.
+# The coded swing: descriptions that carry the word. Misses only, in the feed's vocabulary.
+SWING_LITERAL = "description LIKE '%swing%'"
+# Every swing: misses, fouls and balls put in play.
+SWING_ALL = (
+    "(description LIKE 'swinging_strike%' OR description LIKE 'foul%'"
+    " OR description LIKE 'hit_into_play%' OR description = 'missed_bunt')"
+)
+MISSED = "description = 'swinging_strike'"
+CALLED_OR_MISSED = "description IN ('called_strike', 'swinging_strike')"
+IN_ZONE = "zone BETWEEN 1 AND 9"
+OUT_OF_ZONE = "zone IN (11, 12, 13, 14)"
+BATTED = "launch_speed IS NOT NULL"
 
 
 def first_name(full_name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moundworks.constants import GAME_KEY
 from moundworks.functions import rules
-from moundworks.functions.numeric import ratio, rnd, scaled
+from moundworks.functions.numeric import ratio, rnd, scaled, sql_ratio, sql_rnd
 from moundworks.operators.explore import exact_mean
 from moundworks.operators.ordering import MAX_GROUP_ROWS, trailing_frame
 
@@ -68,26 +68,17 @@ def pitch_mix_text(mix: DataFrame) -> DataFrame:
 
 def contact_by_type(pitches: DataFrame) -> DataFrame:
     """Batters' xwOBA and barrel rate by pitch type."""
-    batted = F.col("launch_speed").isNotNull()
-    return (
-        pitches.filter(F.col("batter_id").isNotNull())
-        .groupBy("batter_id", "pitch_type")
-        .agg(
-            F.count("*").alias("pitches_seen"),
-            rnd(F.avg(F.col("estimated_woba").cast("double")), 4).alias("avg_xwoba"),
-            rnd(ratio(F.count_if(F.col("is_barrel")), F.count_if(batted)), 4).alias("barrel_rate"),
-        )
+    barrels = sql_ratio("count_if(is_barrel)", f"count_if({rules.BATTED})")
+    return pitches.filter("batter_id IS NOT NULL").groupBy("batter_id", "pitch_type").agg(
+        F.count("*").alias("pitches_seen"),
+        F.expr(sql_rnd("avg(double(estimated_woba))", 4)).alias("avg_xwoba"),
+        F.expr(sql_rnd(barrels, 4)).alias("barrel_rate"),
     )
 
 
 def whiff_by_zone(pitches: DataFrame) -> DataFrame:
     """Pitchers' misses per swing by zone."""
-    d = F.col("description")
-    return (
-        pitches.filter(F.col("pitcher_id").isNotNull())
-        .groupBy("pitcher_id", "zone")
-        .agg(
-            F.count("*").alias("pitches"),
-            rnd(ratio(F.count_if(d == "swinging_strike"), F.count_if(rules.swing_literal(d))), 4).alias("whiff_rate"),
-        )
+    whiffs = sql_ratio(f"count_if({rules.MISSED})", f"count_if({rules.SWING_LITERAL})")
+    return pitches.filter("pitcher_id IS NOT NULL").groupBy("pitcher_id", "zone").agg(
+        F.count("*").alias("pitches"), F.expr(sql_rnd(whiffs, 4)).alias("whiff_rate")
     )

@@ -6,130 +6,125 @@ pitch-mix entropy costs no second scan and no join, and a game of any size
 reaches the second step as one row per pitch type and task.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moundworks.constants import BATTER_KEY, FASTBALLS, GAME_KEY
+from moundworks.constants import BATTER_KEY, GAME_KEY
 from moundworks.functions import rules
-from moundworks.functions.numeric import ratio, rnd, sample_std
+from moundworks.functions.numeric import ratio, rnd, sql_ratio, sql_rnd, sql_sample_std
 from moundworks.operators.rolling import with_context
 from moundworks.sources.store import durable
 
-def _by_type(pitches: DataFrame, swing: Callable[[Column], Column]) -> DataFrame:
-    d, zone = F.col("description"), F.col("zone")
-    speed = F.col("release_speed").cast("double")
-    batted = F.col("launch_speed").isNotNull()
-    sums = {
-        "speed": speed,
-        "speed_sq": speed * speed,
-        "spin": F.col("release_spin").cast("double"),
-        "h_break": F.abs(F.col("pfx_x").cast("double")),
-        "v_break": F.col("pfx_z").cast("double"),
-        "xwoba": F.when(batted, F.col("estimated_woba").cast("double")),
-        "exit_velo": F.col("launch_speed").cast("double"),
-        "run_value": F.col("delta_run_exp").cast("double"),
-    }
-    flags = {
-        "missed": d == "swinging_strike",
-        "swings": swing(d),
-        "csw": rules.is_called_or_missed(d),
-        "inside": rules.in_zone(zone),
-        "outside": rules.out_of_zone(zone),
-        "chased": rules.out_of_zone(zone) & swing(d),
-        "barrels": F.col("is_barrel"),
-        "fastballs": F.col("pitch_type").isin(FASTBALLS),
-        "leveraged": F.col("delta_run_exp").cast("double") > 0.1,
-        "leveraged_csw": (F.col("delta_run_exp").cast("double") > 0.1) & rules.is_called_or_missed(d),
-    }
-    return (
-        pitches.filter(F.col("pitcher_id").isNotNull())
-        .groupBy(*GAME_KEY, "pitch_type")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.sum(c).alias(f"s_{k}") for k, c in sums.items()],
-            *[F.count(c).alias(f"c_{k}") for k, c in sums.items() if k != "speed_sq"],
-            *[F.count_if(c).alias(f"f_{k}") for k, c in flags.items()],
-            F.max(F.when(F.col("inning_topbot") == "Top", 1).otherwise(0)).alias("is_top"),
-            F.max("home_team").alias("home_team"),
-            F.max("away_team").alias("away_team"),
-        )
-    )
-
-
-def _by_game(typed: DataFrame) -> DataFrame:
-    n = F.col("n").cast("double")
-    return typed.groupBy(*GAME_KEY).agg(
-        F.sum("n").alias("total_pitches"),
-        F.sum(n * F.ln(n)).alias("n_ln_n"),
-        *[F.sum(c).alias(c) for c in typed.columns if c[:2] in ("s_", "c_", "f_")],
-        F.max("is_top").alias("home_away"),
-        F.max("home_team").alias("home_team"),
-        F.max("away_team").alias("away_team"),
-    )
-
+MEASURES = {
+    "speed": "CAST(release_speed AS DOUBLE)",
+    "spin": "CAST(release_spin AS DOUBLE)",
+    "h_break": "abs(CAST(pfx_x AS DOUBLE))",
+    "v_break": "CAST(pfx_z AS DOUBLE)",
+    "xwoba": f"CASE WHEN {rules.BATTED} THEN CAST(estimated_woba AS DOUBLE) END",
+    "exit_velo": "CAST(launch_speed AS DOUBLE)",
+    "run_value": "CAST(delta_run_exp AS DOUBLE)",
+}
+LEVERAGED = "CAST(delta_run_exp AS DOUBLE) > 0.1D"
 
-def _mean(name: str) -> Column:
-    return ratio(F.col(f"s_{name}"), F.col(f"c_{name}"))
 
+def _flags(swing: str) -> dict[str, str]:
+    return {
+        "missed": rules.MISSED,
+        "swings": swing,
+        "csw": rules.CALLED_OR_MISSED,
+        "inside": rules.IN_ZONE,
+        "outside": rules.OUT_OF_ZONE,
+        "chased": f"{rules.OUT_OF_ZONE} AND {swing}",
+        "barrels": "is_barrel",
+        "fastballs": "pitch_type IN ('FF', 'SI')",
+        "leveraged": LEVERAGED,
+        "leveraged_csw": f"{LEVERAGED} AND {rules.CALLED_OR_MISSED}",
+    }
 
-def _share(name: str, of: Column) -> Column:
-    return rnd(ratio(F.col(f"f_{name}"), of), 4)
 
+def _named(columns: dict[str, str]) -> list[str]:
+    return [f"{expr} AS {name}" for name, expr in columns.items()]
 
-def _game_metrics() -> dict[str, Column]:
-    total = F.col("total_pitches").cast("double")
-    return {
-        "total_pitches": F.col("total_pitches"),
-        "avg_velo": rnd(_mean("speed"), 2),
-        "velo_stddev": rnd(sample_std(F.col("c_speed"), F.col("s_speed"), F.col("s_speed_sq")), 2),
-        "avg_spin": rnd(_mean("spin"), 0),
-        "avg_h_break": rnd(_mean("h_break"), 2),
-        "avg_v_break": rnd(_mean("v_break"), 2),
-        "whiff_rate": _share("missed", F.col("f_swings")),
-        "csw_rate": _share("csw", total),
-        "zone_rate": _share("inside", total),
-        "chase_rate": _share("chased", F.col("f_outside")),
-        "avg_xwoba_allowed": rnd(_mean("xwoba"), 4),
-        "avg_exit_velo_allowed": rnd(_mean("exit_velo"), 2),
-        "barrel_rate_allowed": _share("barrels", F.col("c_exit_velo")),
-        "total_re_delta": rnd(F.col("s_run_value"), 3),
-        # -sum p ln p with p = n / N
-        "stuff_diversity": rnd(F.ln(total) - F.col("n_ln_n") / total, 4),
-    }
 
+def _by_type(pitches: DataFrame, swing: str) -> DataFrame:
+    """Sums and counts of each pitch type in each of a pitcher's games.
 
-def _side_columns() -> dict[str, Column]:
-    """Home flag, teams and the optional metrics of a pitcher's game."""
-    at_home = F.col("home_away") == 1
-    return {
-        "home_away": F.col("home_away"),
-        "team": F.when(at_home, F.col("home_team")).otherwise(F.col("away_team")),
-        "opponent": F.when(at_home, F.col("away_team")).otherwise(F.col("home_team")),
-        "fastball_pct": _share("fastballs", F.col("total_pitches")),
-        "high_leverage_csw": _share("leveraged_csw", F.col("f_leveraged")),
-    }
+    Every pitch is first turned into plain numbers, so that the aggregation
+    itself is nothing but additions.
+    """
+    flags = {name: f"int(coalesce({cond}, false))" for name, cond in _flags(swing).items()}
+    numbers = pitches.filter("pitcher_id IS NOT NULL").selectExpr(
+        *GAME_KEY, "pitch_type", "home_team", "away_team",
+        "int(coalesce(inning_topbot = 'Top', false)) AS top",
+        *_named(MEASURES), *_named(flags),
+    )
+    sums = [f"sum({k}) AS s_{k}" for k in MEASURES] + ["sum(speed * speed) AS s_speed_sq"]
+    counts = [f"count({k}) AS c_{k}" for k in MEASURES if k != "run_value"]
+    return numbers.groupBy(*GAME_KEY, "pitch_type").agg(*map(F.expr, [
+        "count(*) AS n", *sums, *counts, *[f"sum({k}) AS f_{k}" for k in flags],
+        "max(top) AS is_top", "max(home_team) AS home_team", "max(away_team) AS away_team",
+    ]))
 
 
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [c.alias(name) for name, c in columns.items()]
+def _by_game(typed: DataFrame) -> DataFrame:
+    added = [c for c in typed.columns if c[:2] in ("s_", "c_", "f_")]
+    return typed.groupBy(*GAME_KEY).agg(*map(F.expr, [
+        "sum(n) AS total_pitches", "sum(double(n) * ln(double(n))) AS n_ln_n",
+        *[f"sum({c}) AS {c}" for c in added],
+        "max(is_top) AS home_away", "max(home_team) AS home_team", "max(away_team) AS away_team",
+    ]))
+
+
+def _mean(name: str, digits: int) -> str:
+    return sql_rnd(sql_ratio(f"s_{name}", f"c_{name}"), digits)
+
+
+def _share(name: str, of: str) -> str:
+    return sql_rnd(sql_ratio(f"f_{name}", of), 4)
+
+
+GAME_METRICS = {
+    "total_pitches": "total_pitches",
+    "avg_velo": _mean("speed", 2),
+    "velo_stddev": sql_rnd(sql_sample_std("c_speed", "s_speed", "s_speed_sq"), 2),
+    "avg_spin": _mean("spin", 0),
+    "avg_h_break": _mean("h_break", 2),
+    "avg_v_break": _mean("v_break", 2),
+    "whiff_rate": _share("missed", "f_swings"),
+    "csw_rate": _share("csw", "total_pitches"),
+    "zone_rate": _share("inside", "total_pitches"),
+    "chase_rate": _share("chased", "f_outside"),
+    "avg_xwoba_allowed": _mean("xwoba", 4),
+    "avg_exit_velo_allowed": _mean("exit_velo", 2),
+    "barrel_rate_allowed": _share("barrels", "c_exit_velo"),
+    "total_re_delta": sql_rnd("s_run_value", 3),
+    # -sum p ln p with p = n / N
+    "stuff_diversity": sql_rnd("ln(double(total_pitches)) - n_ln_n / double(total_pitches)", 4),
+}
+# home flag, teams and the optional metrics of a pitcher's game
+SIDE_COLUMNS = {
+    "home_away": "home_away",
+    "team": "CASE WHEN home_away = 1 THEN home_team ELSE away_team END",
+    "opponent": "CASE WHEN home_away = 1 THEN away_team ELSE home_team END",
+    "fastball_pct": _share("fastballs", "total_pitches"),
+    "high_leverage_csw": _share("leveraged_csw", "f_leveraged"),
+}
 
 
 def pitcher_game_base(
     pitches: DataFrame,
-    swing: Callable[[Column], Column] = rules.swing_literal,
+    swing: str = rules.SWING_LITERAL,
     extras: bool = False,
 ) -> DataFrame:
     """Metrics of one pitcher in one game. ``extras`` adds the pitcher's side
     and the documented but optional metrics from the same scan."""
-    columns = {**_game_metrics(), **(_side_columns() if extras else {})}
-    return _by_game(_by_type(pitches, swing)).select(*GAME_KEY, *_named(columns))
+    columns = {**GAME_METRICS, **(SIDE_COLUMNS if extras else {})}
+    return _by_game(_by_type(pitches, swing)).selectExpr(*GAME_KEY, *_named(columns))
 
 
 def pitcher_game_summary(
     pitches: DataFrame,
-    swing: Callable[[Column], Column] = rules.swing_literal,
+    swing: str = rules.SWING_LITERAL,
     extras: bool = False,
     days: int = 30,
     season: Column | None = None,
@@ -164,43 +159,37 @@ def pitcher_game_fanout(pitches: DataFrame) -> DataFrame:
     The multiplication is done on the sums, so no pitch is copied. The mix is
     keyed by (pitcher, game) without the date, hence rows without a game drop out.
     """
-    typed = _by_type(pitches.filter(F.col("game_pk").isNotNull()), rules.swing_literal)
-    mix = typed.groupBy("pitcher_id", "game_pk", "pitch_type").agg(F.sum("n").cast("double").alias("n"))
+    typed = _by_type(pitches.filter("game_pk IS NOT NULL"), rules.SWING_LITERAL)
+    mix = typed.groupBy("pitcher_id", "game_pk", "pitch_type").agg(F.expr("double(sum(n)) AS n"))
     spread = mix.groupBy("pitcher_id", "game_pk").agg(
-        F.count("*").alias("k"),
-        (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("entropy"),
+        F.expr("double(count(*)) AS k"), F.expr("ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy")
     )
-    k = F.col("k").cast("double")
     columns = {
-        **_game_metrics(),
-        "total_pitches": F.col("total_pitches") * F.col("k"),
-        "velo_stddev": rnd(sample_std(k * F.col("c_speed"), k * F.col("s_speed"), k * F.col("s_speed_sq")), 2),
-        "total_re_delta": rnd(k * F.col("s_run_value"), 3),
-        "stuff_diversity": rnd(F.col("total_pitches") * F.col("entropy"), 4),
+        **GAME_METRICS,
+        "total_pitches": "total_pitches * bigint(k)",
+        "velo_stddev": sql_rnd(sql_sample_std("(k * c_speed)", "(k * s_speed)", "(k * s_speed_sq)"), 2),
+        "total_re_delta": sql_rnd("k * s_run_value", 3),
+        "stuff_diversity": sql_rnd("total_pitches * entropy", 4),
     }
-    return _by_game(typed).join(spread, ["pitcher_id", "game_pk"]).select(*GAME_KEY, *_named(columns))
+    return _by_game(typed).join(spread, ["pitcher_id", "game_pk"]).selectExpr(*GAME_KEY, *_named(columns))
 
 
 def batter_game_summary(pitches: DataFrame) -> DataFrame:
-    d, zone = F.col("description"), F.col("zone")
-    swing = rules.swing_literal(d)
-    batted = F.col("launch_speed").isNotNull()
-    n_batted = F.count_if(batted)
-    ev = F.col("launch_speed").cast("double")
+    """Metrics of one batter in one game, in one aggregation."""
+    swing, chased = rules.SWING_LITERAL, f"{rules.OUT_OF_ZONE} AND {rules.SWING_LITERAL}"
+    batted = f"count_if({rules.BATTED})"
+    columns = {
+        "pitches_seen": "count(*)",
+        "innings_appeared": "count(DISTINCT inning)",
+        "swing_rate": sql_rnd(sql_ratio(f"count_if({swing})", "count(*)"), 4),
+        "o_swing_rate": sql_rnd(sql_ratio(f"count_if({chased})", f"count_if({rules.OUT_OF_ZONE})"), 4),
+        "avg_exit_velo": sql_rnd("avg(double(launch_speed))", 2),
+        "avg_launch_angle": sql_rnd(f"avg(CASE WHEN {rules.BATTED} THEN double(launch_angle) END)", 2),
+        "avg_xwoba": sql_rnd("avg(double(estimated_woba))", 4),
+        "barrel_rate": sql_rnd(sql_ratio("count_if(is_barrel)", batted), 4),
+        "hard_hit_rate": sql_rnd(sql_ratio("count_if(launch_speed >= 95)", batted), 4),
+        "total_re_created": sql_rnd("sum(double(delta_run_exp))", 3),
+    }
     return (
-        pitches.filter(F.col("batter_id").isNotNull())
-        .groupBy(*BATTER_KEY)
-        .agg(
-            F.count("*").alias("pitches_seen"),
-            F.count_distinct("inning").alias("innings_appeared"),
-            rnd(ratio(F.count_if(swing), F.count("*")), 4).alias("swing_rate"),
-            rnd(ratio(F.count_if(rules.out_of_zone(zone) & swing),
-                      F.count_if(rules.out_of_zone(zone))), 4).alias("o_swing_rate"),
-            rnd(F.avg(ev), 2).alias("avg_exit_velo"),
-            rnd(F.avg(F.when(batted, F.col("launch_angle").cast("double"))), 2).alias("avg_launch_angle"),
-            rnd(F.avg(F.col("estimated_woba").cast("double")), 4).alias("avg_xwoba"),
-            rnd(ratio(F.count_if(F.col("is_barrel")), n_batted), 4).alias("barrel_rate"),
-            rnd(ratio(F.count_if(ev >= 95), n_batted), 4).alias("hard_hit_rate"),
-            rnd(F.sum(F.col("delta_run_exp").cast("double")), 3).alias("total_re_created"),
-        )
+        pitches.filter("batter_id IS NOT NULL").groupBy(*BATTER_KEY).agg(*map(F.expr, _named(columns)))
     )

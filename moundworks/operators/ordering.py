@@ -33,13 +33,14 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def _order(cols: list[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_first() for c in cols]
+def _order(cols: list[str | Column]) -> list[Column]:
+    """Sort columns: names sort ascending with nulls first, Columns as they say."""
+    return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in cols]
 
 
 def ordered_index(
     df: DataFrame,
-    order: list[str],
+    order: list[str | Column],
     group: list[str] | None = None,
     out: str = "row_idx",
     max_group_rows: int = MAX_GROUP_ROWS,
@@ -55,7 +56,7 @@ def ordered_index(
     return _sliced_index(df, order, group, out)
 
 
-def _sliced_index(df: DataFrame, order: list[str], group: list[str], out: str) -> DataFrame:
+def _sliced_index(df: DataFrame, order: list[str | Column], group: list[str], out: str) -> DataFrame:
     """Position = rows of the group in earlier slices + position in the slice.
 
     The running id keeps copies of one row apart, so copies spread over slices
@@ -90,7 +91,7 @@ def _sliced_index(df: DataFrame, order: list[str], group: list[str], out: str) -
 def trailing_frame(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list[str | Column],
     rows_back: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
     max_group_rows: int = MAX_GROUP_ROWS,

@@ -8,7 +8,7 @@ window of an entity is bounded by the calendar, however many games it has.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled
+from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled, sql_ratio, sql_rnd, sql_scaled
 from moundworks.operators.ordering import MAX_GROUP_ROWS, join_null_safe, trailing_frame
 
 # summary column -> digits it is rounded to
@@ -46,40 +46,33 @@ def with_context(summary: DataFrame, days: int = 30, season: Column | None = Non
     """
     key = "pitcher_id"
     daily = daily_sums(summary, key, ROLLED, season=season)
-    past = past_days(key, days)
-    whole = Window.partitionBy(key) if season is None else Window.partitionBy(key, "_season")
-    frames = {}
-    for c in ROLLED:
-        frames[f"pk_{c}"] = F.sum(f"k_{c}").over(past)
-        frames[f"ps_{c}"] = F.sum(f"s_{c}").over(past)
-        frames[f"wk_{c}"] = F.sum(f"k_{c}").over(whole)
-        frames[f"ws_{c}"] = F.sum(f"s_{c}").over(whole)
-    names = list(frames)
-    context = daily.withColumns(frames).select(key, "game_date", *names)
+    past = f"(PARTITION BY {key} ORDER BY unix_date(game_date) RANGE BETWEEN {days} PRECEDING AND 1 PRECEDING)"
+    whole = f"(PARTITION BY {key})" if season is None else f"(PARTITION BY {key}, _season)"
+    frames = [
+        f"sum({part}_{c}) OVER {window} AS {prefix}{part}_{c}"
+        for prefix, window in (("p", past), ("w", whole)) for part in "ks" for c in ROLLED
+    ]
+    context = daily.selectExpr(key, "game_date", *frames)
     joined = join_null_safe(summary, context, [key, "game_date"])
 
-    def past_mean(c: str) -> Column:
-        return mean_of_scaled(F.col(f"ps_{c}"), F.col(f"pk_{c}"), ROLLED[c])
-
-    def whole_mean(c: str) -> Column:
-        return rnd(mean_of_scaled(F.col(f"ws_{c}"), F.col(f"wk_{c}"), ROLLED[c]), ROLLED[c])
+    def mean(prefix: str, c: str) -> str:
+        return sql_rnd(f"{sql_ratio(f'{prefix}s_{c}', f'{prefix}k_{c}')} / {10.0**ROLLED[c]}D", ROLLED[c])
 
-    def above_past(c: str) -> Column:
+    def above_past(c: str) -> str:
         # exact numerator: count * value - sum, all in scaled integers
-        k = F.col(f"pk_{c}")
-        diff = k * scaled(F.col(c), ROLLED[c]) - F.col(f"ps_{c}")
-        return rnd(mean_of_scaled(diff, k, ROLLED[c]), ROLLED[c])
+        diff = f"(pk_{c} * {sql_scaled(c, ROLLED[c])} - ps_{c})"
+        return sql_rnd(f"{sql_ratio(diff, f'pk_{c}')} / {10.0**ROLLED[c]}D", ROLLED[c])
 
-    return joined.select(
+    return joined.selectExpr(
         *summary.columns,
-        rnd(past_mean("avg_velo"), 2).alias("rolling_30d_avg_velo"),
-        rnd(past_mean("whiff_rate"), 4).alias("rolling_30d_whiff_rate"),
-        rnd(past_mean("csw_rate"), 4).alias("rolling_30d_csw_rate"),
-        above_past("avg_velo").alias("velo_vs_30d_avg"),
-        above_past("whiff_rate").alias("whiff_rate_delta"),
-        whole_mean("avg_velo").alias("season_avg_velo"),
-        whole_mean("csw_rate").alias("season_avg_csw"),
-        whole_mean("whiff_rate").alias("season_avg_whiff"),
+        f"{mean('p', 'avg_velo')} AS rolling_30d_avg_velo",
+        f"{mean('p', 'whiff_rate')} AS rolling_30d_whiff_rate",
+        f"{mean('p', 'csw_rate')} AS rolling_30d_csw_rate",
+        f"{above_past('avg_velo')} AS velo_vs_30d_avg",
+        f"{above_past('whiff_rate')} AS whiff_rate_delta",
+        f"{mean('w', 'avg_velo')} AS season_avg_velo",
+        f"{mean('w', 'csw_rate')} AS season_avg_csw",
+        f"{mean('w', 'whiff_rate')} AS season_avg_whiff",
     )
 
 

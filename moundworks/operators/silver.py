@@ -1,6 +1,6 @@
 """Typed, deduplicated pitches and the lookup tables built from them."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.sources.schemas import PITCH_COLUMNS
@@ -15,14 +15,12 @@ def clean_pitches(bronze: DataFrame, loaded_at: bool = False) -> DataFrame:
     sends one row per task through the shuffle.
     """
     present = set(bronze.columns)
-    typed = bronze.select(*[
-        (F.col(c) if c in present else F.lit(None)).cast(t).alias(c) for c, t in PITCH_COLUMNS
+    typed = bronze.selectExpr(*[
+        f"CAST({c if c in present else 'NULL'} AS {t}) AS {c}" for c, t in PITCH_COLUMNS
     ])
-    rest = [c for c, _ in PITCH_COLUMNS if c not in ("pitch_id", "game_date")]
-    w = Window.partitionBy("pitch_id").orderBy(
-        F.col("game_date").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in rest]
-    )
-    kept = typed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = ", ".join(c for c, _ in PITCH_COLUMNS if c not in ("pitch_id", "game_date"))
+    place = f"row_number() OVER (PARTITION BY pitch_id ORDER BY game_date, {rest})"
+    kept = typed.selectExpr("*", f"{place} AS _rn").filter("_rn = 1").drop("_rn")
     return kept.withColumn("loaded_at", F.current_timestamp()) if loaded_at else kept
 
 

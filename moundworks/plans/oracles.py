@@ -258,15 +258,16 @@ _FEED_ORDER = ", ".join(f"{c} NULLS FIRST" for c in [
     "pfx_x", "pfx_z", "plate_x", "plate_z", "zone", "description", "events", "stand", "p_throws", "balls",
     "strikes", "outs_when_up", "launch_speed", "launch_angle", "estimated_ba", "estimated_woba",
     "delta_run_exp", "is_barrel", "home_team", "away_team", "post_home_score", "post_away_score"])
+_WIDE_IDS = ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c in ("pitcher_id", "batter_id") else c for c in ORDER_COLUMNS)
 _KEYED = f"""
 SELECT concat_ws('_', CAST(game_pk AS VARCHAR), CAST(game_date AS VARCHAR), CAST(
     row_number() OVER (PARTITION BY game_pk, game_date ORDER BY {_FEED_ORDER}) - 1 AS VARCHAR)) AS pitch_id,
-  game_pk, game_date, {", ".join(ORDER_COLUMNS)}
+  game_pk, game_date, {_WIDE_IDS}
 FROM feed"""
 oracle("bronze_ingest", ["feed"],
        _KEYED + " WHERE game_date BETWEEN DATE '2024-04-01' AND DATE '2024-09-30'")
 oracle("pitch_key", ["feed"], _KEYED)
-oracle("incremental_days", ["feed"], f"SELECT {PITCH_COLUMNS} FROM feed WHERE game_date > DATE '2024-06-30'")
+oracle("incremental_days", ["feed"], f"SELECT pitch_id, game_pk, game_date, {_WIDE_IDS} FROM feed WHERE game_date > DATE '2024-06-30'")
 oracle("pitches_clean", ["pitches"], f"SELECT {PITCH_COLUMNS} FROM pitches")
 oracle("games", ["games"], "SELECT * FROM games")
 oracle("players", ["players"], "SELECT * FROM players")
@@ -491,7 +492,7 @@ oracle("date_bounds", ["gold"], "SELECT MIN(game_date) AS min_date, MAX(game_dat
 oracle("name_list", ["named"], "SELECT DISTINCT pitcher_name FROM named")
 oracle("date_list", ["named"], "SELECT DISTINCT pitcher_name, game_date FROM named")
 oracle("recent_form", ["named"], f"""
-SELECT pitcher_id, pitcher_name, game_date, game_pk, csw_rate, performance_tier, {LATEST} AS starts_ago,
+SELECT pitcher_id, pitcher_name, game_date, game_pk, csw_rate, performance_tier, CAST({LATEST} AS INTEGER) AS starts_ago,
   {LATEST} = 1 AS selected
 FROM named QUALIFY {LATEST} <= 8
 """)
@@ -550,7 +551,7 @@ SELECT *, whiff_rate - rolling_30d_whiff_rate AS gap,
 FROM named WHERE ABS(whiff_rate - rolling_30d_whiff_rate) > 0.08 AND total_pitches >= 40
 """)
 step("top_outliers", ["outliers"], f"""
-SELECT {SHOWN}, {r('gap', 4)} AS whiff_delta, {r('gap / NULLIF(day_std, 0)', 4)} AS whiff_z, place
+SELECT {SHOWN}, {r('gap', 4)} AS whiff_delta, {r('gap / NULLIF(day_std, 0)', 4)} AS whiff_z, CAST(place AS INTEGER) AS place
 FROM outliers WHERE place <= 5
 """)
 oracle("anomaly_literal", ["top_outliers"], "SELECT * FROM top_outliers")

@@ -99,7 +99,7 @@ def pitcher_game_summary(t):
 
 @query
 def pitcher_game_all_swings(t):
-    return gold.pitcher_game_base(t.pitches, swing=rules.swing_all)
+    return gold.pitcher_game_base(t.pitches, swing=rules.SWING_ALL)
 
 
 @query

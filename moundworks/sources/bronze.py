@@ -22,22 +22,22 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
 def select_available(raw: DataFrame, columns: list[tuple[str, str]] = FEED_COLUMNS) -> DataFrame:
     """Keep the listed columns; a column the extract lacks becomes a typed null."""
     present = set(raw.columns)
-    return raw.select(
-        *[F.col(c) if c in present else F.lit(None).cast(t).alias(c) for c, t in columns]
-    )
+    return raw.selectExpr(*[c if c in present else f"CAST(NULL AS {t}) AS {c}" for c, t in columns])
 
 
 def conform(raw: DataFrame) -> DataFrame:
     """Canonical names and types of a raw extract. An id the feed brings stays."""
     own_id = [("pitch_id", "string")] if "pitch_id" in raw.columns else []
-    named = select_available(raw, own_id + FEED_COLUMNS).withColumnsRenamed(RENAMES)
-    flag = F.coalesce(F.col("is_barrel").cast("int"), F.lit(0))
-    return named.withColumns({
-        "game_date": F.to_date("game_date"),
-        "is_barrel": flag.cast("boolean"),
-        "pitcher_id": F.col("pitcher_id").try_cast("bigint"),
-        "batter_id": F.col("batter_id").try_cast("bigint"),
-    })
+    converted = {
+        "game_date": "to_date(game_date)",
+        "pitcher": "try_cast(pitcher AS BIGINT)",
+        "batter": "try_cast(batter AS BIGINT)",
+        "barrel": "CAST(coalesce(CAST(barrel AS INT), 0) AS BOOLEAN)",
+    }
+    columns = own_id + FEED_COLUMNS
+    return select_available(raw, columns).selectExpr(
+        *[f"{converted.get(c, c)} AS {RENAMES.get(c, c)}" for c, _ in columns]
+    )
 
 
 def add_pitch_key(

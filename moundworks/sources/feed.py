@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
     )
+    return spread_small(lines, "l_orderkey", "l_linenumber")
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that has fewer splits than there are cores, such as one
+    file with one row group. An input with more splits is left as it is, so a
+    large table is never shuffled here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def pitch_feed(lines: DataFrame) -> DataFrame:
