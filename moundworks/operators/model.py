@@ -10,12 +10,13 @@ from moundworks.constants import FEATURES, GAME_KEY, TARGET
 from moundworks.functions import rules
 from moundworks.functions.numeric import rnd
 from moundworks.operators.ordering import MAX_GROUP_ROWS, ordered_index, trailing_frame
-from moundworks.sources.store import durable
+from moundworks.sources.store import durable, shared_dir
 
 # --- fixed values: settings of the boosted trees ------------------------------
 PARAMS = {
     "maxIter": 400, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.7", "minInstancesPerNode": 5, "seed": 42, "lossType": "squared",
+    "checkpointInterval": 10,
 }
 FOLDS = 5
 # ------------------------------------------------------------------------------
@@ -93,6 +94,9 @@ def fold_ranges(folds: DataFrame) -> DataFrame:
 
 
 def _pipeline(params: dict, validation: str | None = None) -> Pipeline:
+    # boosting adds to the lineage every round; with a shared folder set, Spark
+    # cuts it every ``checkpointInterval`` rounds
+    shared_dir(SparkSession.active())
     filled = [f"{c}_f" for c in FEATURES]
     trees = GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params)
     if validation:
