@@ -46,32 +46,46 @@ def _named(columns: dict[str, str]) -> list[str]:
     return [f"{expr} AS {name}" for name, expr in columns.items()]
 
 
-def _by_type(pitches: DataFrame, swing: str) -> DataFrame:
+def _by_type(pitches: DataFrame, swing: str, teams: bool = False) -> DataFrame:
     """Sums and counts of each pitch type in each of a pitcher's games.
 
     Every pitch is first turned into plain numbers, so that the aggregation
-    itself is nothing but additions.
+    itself is nothing but additions and stays a hash aggregate. Team names are
+    carried as keys for the same reason: ``max`` of a string would sort all
+    pitches, and a game has one pair of teams anyway.
     """
+    names = ["home_team", "away_team"] if teams else []
     flags = {name: f"int(coalesce({cond}, false))" for name, cond in _flags(swing).items()}
     numbers = pitches.filter("pitcher_id IS NOT NULL").selectExpr(
-        *GAME_KEY, "pitch_type", "home_team", "away_team",
+        *GAME_KEY, "pitch_type", *names,
         "int(coalesce(inning_topbot = 'Top', false)) AS top",
         *_named(MEASURES), *_named(flags),
     )
     sums = [f"sum({k}) AS s_{k}" for k in MEASURES] + ["sum(speed * speed) AS s_speed_sq"]
     counts = [f"count({k}) AS c_{k}" for k in MEASURES if k != "run_value"]
-    return numbers.groupBy(*GAME_KEY, "pitch_type").agg(*map(F.expr, [
-        "count(*) AS n", *sums, *counts, *[f"sum({k}) AS f_{k}" for k in flags],
-        "max(top) AS is_top", "max(home_team) AS home_team", "max(away_team) AS away_team",
+    return numbers.groupBy(*GAME_KEY, "pitch_type", *names).agg(*map(F.expr, [
+        "count(*) AS n", *sums, *counts, *[f"sum({k}) AS f_{k}" for k in flags], "max(top) AS is_top",
     ]))
 
 
 def _by_game(typed: DataFrame) -> DataFrame:
+    """Add up the pitch types of a game; a handful of rows per game."""
+    names = [c for c in ("home_team", "away_team") if c in typed.columns]
     added = [c for c in typed.columns if c[:2] in ("s_", "c_", "f_")]
     return typed.groupBy(*GAME_KEY).agg(*map(F.expr, [
         "sum(n) AS total_pitches", "sum(double(n) * ln(double(n))) AS n_ln_n",
         *[f"sum({c}) AS {c}" for c in added],
-        "max(is_top) AS home_away", "max(home_team) AS home_team", "max(away_team) AS away_team",
+        "max(is_top) AS home_away", *[f"max({c}) AS {c}" for c in names],
+    ]))
+
+
+def _one_row_per_type(typed: DataFrame) -> DataFrame:
+    """Bring a type together again if a game's rows disagree about its teams;
+    the entropy needs whole types."""
+    added = [c for c in typed.columns if c == "n" or c[:2] in ("s_", "c_", "f_")]
+    return typed.groupBy(*GAME_KEY, "pitch_type").agg(*map(F.expr, [
+        *[f"sum({c}) AS {c}" for c in added],
+        *[f"max({c}) AS {c}" for c in ("is_top", "home_team", "away_team")],
     ]))
 
 
@@ -119,7 +133,8 @@ def pitcher_game_base(
     """Metrics of one pitcher in one game. ``extras`` adds the pitcher's side
     and the documented but optional metrics from the same scan."""
     columns = {**GAME_METRICS, **(SIDE_COLUMNS if extras else {})}
-    return _by_game(_by_type(pitches, swing)).selectExpr(*GAME_KEY, *_named(columns))
+    typed = _by_type(pitches, swing, teams=extras)
+    return _by_game(_one_row_per_type(typed) if extras else typed).selectExpr(*GAME_KEY, *_named(columns))
 
 
 def pitcher_game_summary(
@@ -159,7 +174,7 @@ def pitcher_game_fanout(pitches: DataFrame) -> DataFrame:
     The multiplication is done on the sums, so no pitch is copied. The mix is
     keyed by (pitcher, game) without the date, hence rows without a game drop out.
     """
-    typed = _by_type(pitches.filter("game_pk IS NOT NULL"), rules.SWING_LITERAL)
+    typed = durable(_by_type(pitches.filter("game_pk IS NOT NULL"), rules.SWING_LITERAL))  # read twice
     mix = typed.groupBy("pitcher_id", "game_pk", "pitch_type").agg(F.expr("double(sum(n)) AS n"))
     spread = mix.groupBy("pitcher_id", "game_pk").agg(
         F.expr("double(count(*)) AS k"), F.expr("ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy")

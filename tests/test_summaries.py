@@ -144,6 +144,17 @@ def test_side_of_the_pitcher(spark):
     assert (got[11].home_away, got[11].team, got[11].opponent) == (0, "A", "H")
 
 
+def test_disagreeing_teams_do_not_split_a_type(spark):
+    df = pitches(spark, [{"home_team": None}, {"home_team": "H"}, {"pitch_type": "SL"}])
+    plain, wide = gold.pitcher_game_base(df).first(), gold.pitcher_game_base(df, extras=True).first()
+    assert plain.stuff_diversity == wide.stuff_diversity and wide.team == "H"
+
+
+def test_pitches_are_never_sorted_for_the_summary(spark):
+    plan = gold.pitcher_game_base(pitches(spark, [{}]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_mix_shares_add_up(spark):
     from pyspark.sql import functions as F
     df = pitches(spark, [{"pitch_type": t} for t in ("FF", "FF", "SL", None)])
