@@ -76,3 +76,16 @@ def signed(col: Column, digits: int) -> Column:
 
 def or_dash(text: Column, source: Column) -> Column:
     return F.when(source.isNull(), F.lit("—")).otherwise(text)
+
+
+def grouped(col: Column) -> Column:
+    """1234567 -> '1,234,567'."""
+    return F.format_number(col, 0)
+
+
+def short_date(col: Column) -> Column:
+    return F.date_format(col, "MMM dd, yyyy")
+
+
+def long_date(col: Column) -> Column:
+    return F.date_format(col, "MMMM dd, yyyy")

@@ -45,6 +45,28 @@ def pitcher_prompt(named: DataFrame) -> DataFrame:
     return named.select(*GAME_KEY, prompt.alias("prompt"))
 
 
+def live_prompt(named: DataFrame) -> DataFrame:
+    """Prompt of the report page for each pitcher's game."""
+    prompt = F.format_string(
+        text.LIVE_PROMPT,
+        pitcher_label(),
+        F.col("game_date").cast("string"),
+        F.coalesce("opponent", F.lit("Unknown")),
+        F.col("total_pitches").cast("string"),
+        rules.fixed(zero("avg_velo"), 1),
+        rules.fixed(zero("season_avg_velo"), 1),
+        rules.pct(zero("whiff_rate")),
+        rules.pct(zero("csw_rate")),
+        rules.pct(zero("zone_rate")),
+        rules.pct(zero("chase_rate")),
+        rules.fixed(zero("avg_xwoba_allowed"), 3),
+        rules.pct(zero("barrel_rate_allowed")),
+        rules.signed(zero("total_re_delta"), 2),
+        F.col("performance_tier"),
+    )
+    return named.select(*GAME_KEY, prompt.alias("prompt"))
+
+
 def anomaly_prompt(anomalies: DataFrame) -> DataFrame:
     """One prompt per day from its ranked anomalies (a handful per day)."""
     line = F.format_string(

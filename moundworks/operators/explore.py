@@ -342,3 +342,66 @@ def display_matrix(matrix: DataFrame) -> DataFrame:
         "pitcher_id", F.col("stat").alias("Stat"),
         *[rules.or_dash(fmt(F.col(c)), F.col(c)).alias(h) for h, (c, fmt) in shown.items()],
     )
+
+
+def _shown(text: Column, source: str, name: str) -> Column:
+    return rules.or_dash(text, F.col(source)).alias(name)
+
+
+def display_overview(kpis: DataFrame) -> DataFrame:
+    """Overview figures as the page prints them."""
+    return kpis.select(
+        rules.grouped(F.col("total_games")).alias("Total Games"),
+        _shown(rules.pct(F.col("elite_share"), 0), "elite_share", "Elite Outings"),
+        _shown(rules.pct(F.col("avg_csw")), "avg_csw", "Avg CSW Rate"),
+        _shown(rules.fixed(F.col("avg_xwoba"), 3), "avg_xwoba", "Avg xwOBA Allowed"),
+        _shown(F.concat(rules.fixed(F.col("avg_velo"), 1), F.lit(" mph")), "avg_velo", "Avg Fastball Velo"),
+    )
+
+
+def display_pitcher_card(named: DataFrame) -> DataFrame:
+    """Head of a pitcher's page: latest start and formatted card."""
+    latest = last_n(named, "pitcher_id", 1).select(
+        "pitcher_id", "team", rules.tier_words(F.col("performance_tier")).alias("Tier"),
+        F.concat(F.lit("Last start: "), rules.short_date(F.col("game_date")), F.lit(" vs. "),
+                 F.coalesce("opponent", F.lit("Unknown"))).alias("Last start"),
+    )
+    card = pitcher_card(named).select(
+        "pitcher_id", "pitcher_name",
+        F.col("starts").cast("string").alias("GS (filtered)"),
+        _shown(rules.pct(F.col("avg_csw")), "avg_csw", "Avg CSW%"),
+        _shown(rules.pct(F.col("avg_whiff")), "avg_whiff", "Avg Whiff%"),
+        _shown(rules.fixed(F.col("avg_velo"), 1), "avg_velo", "Avg Velo"),
+        _shown(rules.fixed(F.col("avg_xwoba"), 3), "avg_xwoba", "xwOBA"),
+        _shown(rules.signed(F.col("re_delta"), 1), "re_delta", "RE Delta"),
+    )
+    return card.join(latest, "pitcher_id")
+
+
+def display_batter_card(named: DataFrame) -> DataFrame:
+    return batter_card(named).select(
+        "batter_id", "batter_name",
+        _shown(F.concat(rules.fixed(F.col("avg_exit_velo"), 1), F.lit(" mph")), "avg_exit_velo", "Avg Exit Velo"),
+        _shown(rules.fixed(F.col("avg_xwoba"), 3), "avg_xwoba", "Avg xwOBA"),
+        _shown(rules.pct(F.col("barrel_rate")), "barrel_rate", "Barrel Rate"),
+        _shown(rules.pct(F.col("hard_hit_rate")), "hard_hit_rate", "Hard Hit%"),
+        _shown(rules.pct(F.col("o_swing_rate")), "o_swing_rate", "O-Swing%"),
+    )
+
+
+def display_game(named: DataFrame) -> DataFrame:
+    """Figures of the report page for each game."""
+    return named.select(
+        *K.GAME_KEY,
+        rules.long_date(F.col("game_date")).alias("Game date"),
+        F.concat(F.col("pitcher_name"), F.lit(" · "), rules.short_date(F.col("game_date")), F.lit(" vs. "),
+                 F.coalesce("opponent", F.lit("Unknown"))).alias("Title"),
+        F.col("total_pitches").cast("string").alias("Pitches"),
+        _shown(rules.pct(F.col("csw_rate")), "csw_rate", "CSW Rate"),
+        _shown(rules.pct(F.col("whiff_rate")), "whiff_rate", "Whiff Rate"),
+        _shown(F.concat(rules.fixed(F.col("avg_velo"), 1), F.lit(" mph")), "avg_velo", "Avg Velo"),
+        _shown(rules.pct(F.col("zone_rate")), "zone_rate", "Zone Rate"),
+        _shown(rules.pct(F.col("chase_rate")), "chase_rate", "Chase Rate"),
+        _shown(rules.fixed(F.col("avg_xwoba_allowed"), 3), "avg_xwoba_allowed", "xwOBA"),
+        _shown(rules.signed(F.col("total_re_delta"), 2), "total_re_delta", "RE Delta"),
+    )

@@ -793,3 +793,68 @@ SELECT pitcher_id, zone, COUNT(*) AS pitches,
   {over(total("description = 'swinging_strike'"), total(SWING))} AS whiff_rate
 FROM pitches WHERE pitcher_id IS NOT NULL GROUP BY pitcher_id, zone
 """)
+
+# --- display forms -----------------------------------------------------------
+
+def shown(expr: str, col: str, name: str) -> str:
+    return f'{dash(expr, col)} AS "{name}"'
+
+
+step("kpis", ["gold"], f"""
+SELECT COUNT(DISTINCT game_pk) AS total_games, {over(total("performance_tier = 'elite'"), 'COUNT(*)')} AS elite_share,
+  {mean_i('csw_rate', 4, '')} AS avg_csw, {mean_i('avg_xwoba_allowed', 4, '')} AS avg_xwoba,
+  {mean_i('avg_velo', 2, '')} AS avg_velo FROM gold
+""")
+oracle("display_overview", ["kpis"], f"""
+SELECT format('{{:,}}', total_games) AS "Total Games", {shown(pct('elite_share', 0), 'elite_share', 'Elite Outings')},
+  {shown(pct('avg_csw'), 'avg_csw', 'Avg CSW Rate')}, {shown(fixed('avg_xwoba', 3), 'avg_xwoba', 'Avg xwOBA Allowed')},
+  {shown(f"concat({fixed('avg_velo', 1)}, ' mph')", 'avg_velo', 'Avg Fastball Velo')}
+FROM kpis
+""")
+step("cards", ["named"], f"""
+SELECT pitcher_id, pitcher_name, COUNT(*) AS starts, {mean_i('csw_rate', 4, '')} AS avg_csw,
+  {mean_i('whiff_rate', 4, '')} AS avg_whiff, {mean_i('avg_velo', 2, '')} AS avg_velo,
+  {mean_i('avg_xwoba_allowed', 4, '')} AS avg_xwoba, {sum_i('total_re_delta', 3)} AS re_delta
+FROM named GROUP BY pitcher_id, pitcher_name
+""")
+oracle("display_pitcher_card", ["cards", "named"], f"""
+SELECT c.pitcher_id, c.pitcher_name, CAST(starts AS VARCHAR) AS "GS (filtered)",
+  {shown(pct('c.avg_csw'), 'c.avg_csw', 'Avg CSW%')}, {shown(pct('c.avg_whiff'), 'c.avg_whiff', 'Avg Whiff%')},
+  {shown(fixed('c.avg_velo', 1), 'c.avg_velo', 'Avg Velo')}, {shown(fixed('c.avg_xwoba', 3), 'c.avg_xwoba', 'xwOBA')},
+  {shown(signed('c.re_delta', 1), 'c.re_delta', 'RE Delta')}, l.team, replace(l.performance_tier, '_', ' ') AS "Tier",
+  concat('Last start: ', strftime(l.game_date, '%b %d, %Y'), ' vs. ', COALESCE(l.opponent, 'Unknown')) AS "Last start"
+FROM cards c JOIN (SELECT * FROM named QUALIFY {LATEST} = 1) l ON l.pitcher_id = c.pitcher_id
+""")
+step("batter_cards", ["named_batters"], f"""
+SELECT batter_id, batter_name, {mean_i('avg_exit_velo', 2, '')} AS ev, {mean_i('avg_xwoba', 4, '')} AS xw,
+  {mean_i('barrel_rate', 4, '')} AS br, {mean_i('hard_hit_rate', 4, '')} AS hh, {mean_i('o_swing_rate', 4, '')} AS os
+FROM named_batters GROUP BY batter_id, batter_name
+""")
+oracle("display_batter_card", ["batter_cards"], f"""
+SELECT batter_id, batter_name, {shown(f"concat({fixed('ev', 1)}, ' mph')", 'ev', 'Avg Exit Velo')},
+  {shown(fixed('xw', 3), 'xw', 'Avg xwOBA')}, {shown(pct('br'), 'br', 'Barrel Rate')},
+  {shown(pct('hh'), 'hh', 'Hard Hit%')}, {shown(pct('os'), 'os', 'O-Swing%')}
+FROM batter_cards
+""")
+oracle("display_game", ["named"], f"""
+SELECT {GAME}, strftime(game_date, '%B %d, %Y') AS "Game date",
+  concat(pitcher_name, ' · ', strftime(game_date, '%b %d, %Y'), ' vs. ', COALESCE(opponent, 'Unknown')) AS "Title",
+  CAST(total_pitches AS VARCHAR) AS "Pitches", {shown(pct('csw_rate'), 'csw_rate', 'CSW Rate')},
+  {shown(pct('whiff_rate'), 'whiff_rate', 'Whiff Rate')},
+  {shown(f"concat({fixed('avg_velo', 1)}, ' mph')", 'avg_velo', 'Avg Velo')},
+  {shown(pct('zone_rate'), 'zone_rate', 'Zone Rate')}, {shown(pct('chase_rate'), 'chase_rate', 'Chase Rate')},
+  {shown(fixed('avg_xwoba_allowed', 3), 'avg_xwoba_allowed', 'xwOBA')},
+  {shown(signed('total_re_delta', 2), 'total_re_delta', 'RE Delta')}
+FROM named
+""")
+oracle("live_prompt", ["named"], f"""
+SELECT {GAME}, printf({q(text.LIVE_PROMPT)}, {LABEL}, CAST(game_date AS VARCHAR), COALESCE(opponent, 'Unknown'),
+  CAST(total_pitches AS VARCHAR), {fixed(z('avg_velo'), 1)}, {fixed(z('season_avg_velo'), 1)},
+  {pct(z('whiff_rate'))}, {pct(z('csw_rate'))}, {pct(z('zone_rate'))}, {pct(z('chase_rate'))},
+  {fixed(z('avg_xwoba_allowed'), 3)}, {pct(z('barrel_rate_allowed'))}, {signed(z('total_re_delta'), 2)},
+  performance_tier) AS prompt
+FROM named
+""")
+oracle("generate_text", ["named"], f"""
+SELECT {GAME}, concat('Report on ', {LABEL}) AS headline, CAST(NULL AS VARCHAR) AS error FROM named
+""")

@@ -243,6 +243,26 @@ def display_matrix(t):
     return explore.display_matrix(explore.season_matrix(t.summary))
 
 
+@query
+def display_overview(t):
+    return explore.display_overview(explore.overview_kpis(t.summary))
+
+
+@query
+def display_pitcher_card(t):
+    return explore.display_pitcher_card(t.summary)
+
+
+@query
+def display_batter_card(t):
+    return explore.display_batter_card(t.batters)
+
+
+@query
+def display_game(t):
+    return explore.display_game(t.summary)
+
+
 @query
 def pitcher_card(t):
     return explore.pitcher_card(t.summary)
@@ -349,6 +369,22 @@ def pitcher_prompt(t):
     return enrich.pitcher_prompt(t.summary)
 
 
+@query
+def live_prompt(t):
+    return enrich.live_prompt(t.summary)
+
+
+@query
+def generate_text(t):
+    # a stand-in writer: answers with the prompt's pitcher line as headline
+    def writer(prompts):
+        who = prompts.str.extract(r"Pitcher: ([^\n]*)", expand=False)
+        return '{"headline": "Report on ' + who + '"}'
+
+    answers = enrich.generate(enrich.live_prompt(t.summary), writer).drop("prompt")
+    return insights.parse_response(answers).select(*GAME_KEY, "headline", "error")
+
+
 @query
 def anomaly_prompt(t):
     return enrich.anomaly_prompt(anomaly.anomaly_literal(t.summary))
@@ -459,12 +495,17 @@ def feature_importance(t):
     return attribution.feature_importance(t.fitted)
 
 
+@query
+def training_metadata(t):
+    return model.training_metadata(
+        t.training, model.fold_ranges(t.folds), attribution.feature_importance(t.fitted),
+        attribution.attribution_summary(t.fitted, t.training))
+
+
 @query
 def model_store(t):
     path = store.scratch_path(t.spark, "model")
-    model.save_model(t.fitted, path, model.training_metadata(
-        t.training, model.fold_ranges(t.folds), attribution.feature_importance(t.fitted),
-        attribution.attribution_summary(t.fitted, t.training)))
+    model.save_model(t.fitted, path, training_metadata(t))
     loaded, _ = model.load_model(t.spark, path)
     return model.score_batch(loaded, t.summary)
 

@@ -35,6 +35,29 @@ Respond ONLY with valid JSON — no preamble, no markdown, no explanation outsid
 }
 """
 
+LIVE_PROMPT = """\
+You are a baseball analyst for an MLB front office.
+
+Pitcher: %s
+Date: %s
+Opponent: %s
+
+Stats:
+- Pitches: %s
+- Avg velocity: %s mph (season avg: %s mph)
+- Whiff rate: %s (league avg: 25.4%%)
+- CSW rate: %s (league avg: 28.1%%)
+- Zone rate: %s
+- Chase rate: %s
+- xwOBA allowed: %s
+- Barrel rate: %s
+- Run value delta: %s
+
+Performance tier: %s
+
+Respond ONLY with valid JSON (no markdown):
+{"headline": "<15 words max>", "key_finding": "<2-3 analytical sentences>", "concern_flag": null or "<one sentence>", "pitch_mix_note": null or "<one sentence>"}"""
+
 ANOMALY_LINE = "- %s: whiff_rate %s (30d avg: %s, velo delta: %s mph)"
 
 ANOMALY_PROMPT = """\
