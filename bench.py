@@ -63,8 +63,13 @@ def main() -> None:
     for name in HEADLINE:
         results[name] = timed(lambda: from_raw(name), runs)
 
+    # the summaries on typed pitches that are stored already
+    typed = durable(layers.layers(spark, sf_dir).pitches)
+    results["pitcher_game_summary_from_silver"] = timed(lambda: noop(gold.pitcher_game_summary(typed)), runs)
+    results["batter_game_summary_from_silver"] = timed(lambda: noop(gold.batter_game_summary(typed)), runs)
+
     # the look-back windows alone, on game rows that are stored already
-    base = durable(gold.pitcher_game_base(layers.layers(spark, sf_dir).pitches))
+    base = durable(gold.pitcher_game_base(typed))
     results["rolling_30d_from_gold"] = timed(lambda: noop(rolling.with_context(base)), runs)
 
     layers.forget()

@@ -156,8 +156,11 @@ def attributions(model: PipelineModel, rows: DataFrame, top: int = 3, keep: list
     return contributions(model, rows, keep).select(*keep, "base_value", "prediction", shown.alias("top_features"))
 
 
-def attribution_summary(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Mean absolute contribution of each feature over all given rows."""
+def attribution_summary(model: PipelineModel, rows: DataFrame, last: int | None = None) -> DataFrame:
+    """Mean absolute contribution of each feature, over all given rows or over
+    the ``last`` ones in time."""
+    if last is not None:
+        rows = rows.orderBy(F.col("game_date").desc_nulls_last(), "pitcher_id", "game_pk").limit(last)
     names = F.array(*[F.lit(n) for n in FEATURES])
     pairs = F.arrays_zip(names.alias("feature"), F.col("contributions").alias("value"))
     return (

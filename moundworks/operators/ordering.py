@@ -44,23 +44,25 @@ def ordered_index(
     group: list[str] | None = None,
     out: str = "row_idx",
     max_group_rows: int = MAX_GROUP_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``order``.
 
-    Without a group the whole table is numbered, always by slices.
+    Without a group the whole table is numbered, always by slices. ``stored``
+    says that ``df`` reads files, so that slicing need not write it first.
     """
     group = group or []
     if group and largest_group(df, group) <= max_group_rows:
         w = Window.partitionBy(*group).orderBy(*_order(order))
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    return _sliced_index(df, order, group, out)
+    return _sliced_index(df if stored else durable(df), order, group, out)
 
 
 def _sliced_index(df: DataFrame, order: list[str | Column], group: list[str], out: str) -> DataFrame:
     """Position = rows of the group in earlier slices + position in the slice.
 
     The running id keeps copies of one row apart, so copies spread over slices
-    too. Slice numbers come from a sampled range partitioning, hence the written
+    too; over stored rows a repeated task gives the same ids. Slice numbers come from a sampled range partitioning, hence the written
     table: both readers below must see the same slices.
     """
     marked = df.withColumn("_copy", F.monotonically_increasing_id())
@@ -109,7 +111,7 @@ def trailing_frame(
         return base.withColumns(columns(w))
 
     block = max(max_group_rows, rows_back)
-    placed = ordered_index(base, order, keys, "_pos", max_group_rows).withColumn(
+    placed = ordered_index(base, order, keys, "_pos", max_group_rows, stored=True).withColumn(
         "_block", F.floor(F.col("_pos") / block).cast("bigint")
     )
     near_end = (F.col("_pos") % block) >= (block - rows_back)

@@ -57,6 +57,12 @@ def test_contributions_add_up(t):
     assert len(top) == 3 and sizes == sorted(sizes, reverse=True)
 
 
+def test_summary_of_the_last_rows(t):
+    got = attribution.attribution_summary(t.fitted, t.summary, last=20).collect()
+    assert {r.feature for r in got} == set(FEATURES)
+    assert all(r.mean_abs_contribution >= 0 for r in got)
+
+
 def test_shapley_against_all_subsets():
     """Brute force over every subset of the features on random leaves."""
     rng = np.random.default_rng(1)

@@ -114,6 +114,20 @@ def test_view_and_table(spark):
     assert spark.sql("SELECT count(*) AS n FROM some_batch").first().n == 3
 
 
+def test_replace_catalog_table(spark):
+    for n in (2, 5):
+        store.save_as_table(spark.range(n), "moundworks_test_table")
+        assert spark.table("moundworks_test_table").count() == n
+    spark.sql("DROP TABLE moundworks_test_table")
+
+
+def test_load_time_is_optional(spark):
+    from moundworks.operators.silver import clean_pitches
+    df = bronze.add_pitch_key(bronze.conform(raw(spark, [0])))
+    assert "loaded_at" not in clean_pitches(df).columns
+    assert clean_pitches(df, loaded_at=True).filter("loaded_at IS NULL").count() == 0
+
+
 def test_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default=None):
