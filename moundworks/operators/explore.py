@@ -238,8 +238,8 @@ def exit_velo_histogram(summary: DataFrame, bins: int = 25) -> DataFrame:
     empty bins included; bins that start at 95 or more are hard hit."""
     value = F.col("avg_exit_velo")
     known = summary.filter(value.isNotNull())
-    low = known.agg(F.min("avg_exit_velo")).scalar()
-    high = known.agg(F.max("avg_exit_velo")).scalar()
+    ends = known.agg(F.struct(F.min("avg_exit_velo").alias("low"), F.max("avg_exit_velo").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     width = F.nullif(high - low, F.lit(0.0))
     place = F.coalesce(F.floor((value - low) / width * F.lit(float(bins))), F.lit(0))
     counts = known.groupBy(F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin")).agg(

@@ -19,6 +19,7 @@ PARAMS = {
     "checkpointInterval": 10,
 }
 FOLDS = 5
+EARLY_STOP = 30
 # ------------------------------------------------------------------------------
 
 HISTORY = ["rolling_30d_csw_rate", "rolling_30d_whiff_rate", "rolling_30d_avg_velo"]
@@ -26,18 +27,18 @@ SAME_GAME = ["avg_spin", "avg_h_break", "avg_v_break", "stuff_diversity", "zone_
              "barrel_rate_allowed", "avg_xwoba_allowed", "total_pitches", "velo_vs_30d_avg", "whiff_rate_delta"]
 
 
-def lag_features(summary: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def lag_features(summary: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, stored: bool = False) -> DataFrame:
     """Replace what is only known after the game by the previous start's value."""
 
     def columns(w):
         return {c: F.lag(c).over(w) for c in SAME_GAME}
 
-    return trailing_frame(summary, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, max_group_rows)
+    return trailing_frame(summary, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, max_group_rows, stored)
 
 
-def training_rows(summary: DataFrame, lagged: bool = False) -> DataFrame:
+def training_rows(summary: DataFrame, lagged: bool = False, stored: bool = False) -> DataFrame:
     """Rows with a target and full history, features and target as doubles."""
-    rows = lag_features(summary) if lagged else summary
+    rows = lag_features(summary, stored=stored) if lagged else summary
     doubles = [F.col(c).cast("double").alias(c) for c in [*FEATURES, TARGET]]
     return rows.na.drop(subset=[*HISTORY, TARGET]).select(*GAME_KEY, *doubles)
 
@@ -93,39 +94,66 @@ def fold_ranges(folds: DataFrame) -> DataFrame:
     )
 
 
-def _pipeline(params: dict, validation: str | None = None) -> Pipeline:
+def _stages(params: dict) -> list:
     # boosting adds to the lineage every round; with a shared folder set, Spark
     # cuts it every ``checkpointInterval`` rounds
     shared_dir(SparkSession.active())
     filled = [f"{c}_f" for c in FEATURES]
-    trees = GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params)
-    if validation:
-        # no tolerance: stop only when the validation error stops falling
-        trees = trees.setValidationIndicatorCol(validation)
-        trees.set(trees.validationTol, 0.0)
-    return Pipeline(stages=[
+    return [
         Imputer(strategy="median", inputCols=FEATURES, outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="features"),
-        trees,
-    ])
+        GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params),
+    ]
 
 
 def train(rows: DataFrame, params: dict | None = None) -> PipelineModel:
     """Fit on all rows. The imputer stays in the model, so scoring fills nulls
     exactly as training did."""
-    return _pipeline({**PARAMS, **(params or {})}).fit(rows)
+    return Pipeline(stages=_stages({**PARAMS, **(params or {})})).fit(rows)
 
 
-def cv_metrics(folds: DataFrame, params: dict | None = None) -> DataFrame:
-    """RMSE, MAE and R2 of each expanding fold; one distributed fit per fold."""
+def best_round(errors: list[float], patience: int) -> int:
+    """Rounds to keep: those up to the lowest error that ``patience`` further
+    rounds did not beat."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        if k - best >= patience:
+            break
+    return best + 1
+
+
+def _fold_predictions(training: DataFrame, validation: DataFrame, params: dict,
+                      patience: int) -> tuple[DataFrame, int]:
+    """Predict the validation rows with as many rounds as they justify.
+
+    The first rounds of a fit do not depend on how many follow, so the shorter
+    model is the longer one cut off.
+    """
+    *prepare, trees = _stages(params)
+    prepared = Pipeline(stages=prepare).fit(training)
+    x, x_val = (prepared.transform(df).select("features", TARGET) for df in (training, validation))
+    model = trees.fit(x)
+    rounds = best_round(model.evaluateEachIteration(x_val, params["lossType"]), patience)
+    if rounds < params["maxIter"]:
+        model = trees.setMaxIter(rounds).fit(x)
+    return model.transform(x_val), rounds
+
+
+def cv_metrics(folds: DataFrame, params: dict | None = None, patience: int = EARLY_STOP) -> DataFrame:
+    """RMSE, MAE and R2 of each expanding fold; one distributed fit per fold.
+
+    ``folds`` should be a stored table: every fold reads it.
+    """
     settings = {**PARAMS, **(params or {})}
-    scored = None
+    scored, rounds = None, []
     for fold in range(1, FOLDS + 1):
-        upto = folds.filter(F.col("val_fold") <= fold).withColumn("is_val", F.col("val_fold") == fold)
-        model = _pipeline(settings, "is_val").fit(upto)
-        part = model.transform(upto.filter("is_val")).select(
-            F.lit(fold).alias("fold"), F.col(TARGET).alias("y"), "prediction"
+        predicted, kept = _fold_predictions(
+            folds.filter(F.col("val_fold") < fold), folds.filter(F.col("val_fold") == fold), settings, patience
         )
+        rounds.append((fold, kept))
+        part = predicted.select(F.lit(fold).alias("fold"), F.col(TARGET).alias("y"), "prediction")
         scored = part if scored is None else scored.unionByName(part)
     e = F.col("prediction") - F.col("y")
     y = F.col("y")
@@ -134,7 +162,8 @@ def cv_metrics(folds: DataFrame, params: dict | None = None) -> DataFrame:
         rnd(F.avg(F.abs(e)), 5).alias("mae"),
         rnd(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0)), 4).alias("r2"),
     )
-    return fold_ranges(folds).join(quality, "fold")
+    kept_rounds = folds.sparkSession.createDataFrame(rounds, "fold int, rounds int")
+    return fold_ranges(folds).join(quality, "fold").join(F.broadcast(kept_rounds), "fold")
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:

@@ -97,15 +97,17 @@ def trailing_frame(
     rows_back: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
     max_group_rows: int = MAX_GROUP_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Add window columns that look at most ``rows_back`` rows back.
 
     ``columns(w)`` gets the ordered window and returns the new columns. When a
     key is too large for one task, it is cut into blocks of consecutive rows;
     the last ``rows_back`` rows of a block are also sent to the next block, only
-    to be looked at, and dropped afterwards.
+    to be looked at, and dropped afterwards. ``stored`` says that ``df`` reads
+    files; otherwise it is written first, as it is read more than once.
     """
-    base = durable(df)
+    base = df if stored else durable(df)
     if largest_group(base, keys) <= max_group_rows:
         w = Window.partitionBy(*keys).orderBy(*_order(order))
         return base.withColumns(columns(w))

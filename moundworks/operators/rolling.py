@@ -104,6 +104,7 @@ def rolling_rows(
     min_rows: int = 2,
     order: tuple = ("game_date", "game_pk"),
     max_group_rows: int = MAX_GROUP_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Mean of the last ``n`` rows, this one included; null with too few values."""
 
@@ -116,7 +117,7 @@ def rolling_rows(
             out[f"{c}_{n}g"] = F.when(k >= min_rows, rnd(mean_of_scaled(F.sum(v).over(frame), k, d), d))
         return out
 
-    return trailing_frame(summary, [key], list(order), n - 1, columns, max_group_rows)
+    return trailing_frame(summary, [key], list(order), n - 1, columns, max_group_rows, stored)
 
 
 def rolling_prior(
@@ -126,6 +127,7 @@ def rolling_prior(
     n: int = 6,
     order: tuple = ("game_date", "game_pk"),
     max_group_rows: int = MAX_GROUP_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Mean of the ``n`` previous rows; missing rows count as the baseline column."""
 
@@ -139,7 +141,7 @@ def rolling_prior(
             out[f"prior_{n}_{c}"] = rnd(mean_of_scaled(total + padding, F.lit(n), d), d)
         return out
 
-    return trailing_frame(summary, [key], list(order), n, columns, max_group_rows)
+    return trailing_frame(summary, [key], list(order), n, columns, max_group_rows, stored)
 
 
 def last_n(df: DataFrame, key: str, n: int, order: tuple = ("game_date", "game_pk"),

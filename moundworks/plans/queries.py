@@ -136,7 +136,7 @@ def season_averages_by_year(t):
 @query
 def rolling_7_games(t):
     rows = t.batters.select(*BATTER_KEY, "avg_xwoba", "barrel_rate")
-    return rolling.rolling_rows(rows, {"avg_xwoba": 4, "barrel_rate": 4})
+    return rolling.rolling_rows(rows, {"avg_xwoba": 4, "barrel_rate": 4}, stored=True)
 
 
 @query
@@ -145,7 +145,7 @@ def rolling_6_starts(t):
                             "season_avg_velo", "season_avg_csw", "season_avg_whiff")
     return rolling.rolling_prior(rows, {
         "avg_velo": ("season_avg_velo", 2), "csw_rate": ("season_avg_csw", 4), "whiff_rate": ("season_avg_whiff", 4),
-    })
+    }, stored=True)
 
 
 @query
@@ -437,7 +437,7 @@ def training_rows(t):
 
 @query
 def lagged_features(t):
-    return model.training_rows(t.summary, lagged=True)
+    return model.training_rows(t.summary, lagged=True, stored=True)
 
 
 @query
@@ -555,7 +555,7 @@ def high_leverage_csw(t):
 
 @query
 def days_rest(t):
-    return extras.days_rest(t.summary)
+    return extras.days_rest(t.summary, stored=True)
 
 
 @query

@@ -102,6 +102,20 @@ def test_scores_survive_saving(spark, t):
     assert all(0 <= r.stuff_score <= 100 for r in a)
 
 
+def test_best_round_waits_for_patience():
+    errors = [5.0, 4.0, 4.5, 4.4, 3.0, 3.5]
+    assert model.best_round(errors, 30) == 5
+    assert model.best_round(errors, 2) == 2
+    assert model.best_round([1.0], 30) == 1
+
+
+def test_shorter_fit_is_the_longer_one_cut_off(t):
+    short = model.train(t.training, {"maxIter": 3}).stages[-1]
+    assert [x.toDebugString for x in short.trees[1:]] and short.treeWeights == t.fitted.stages[-1].treeWeights[:3]
+    for a, b in zip(short.trees, t.fitted.stages[-1].trees):
+        assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
 def test_cross_validation(t):
     got = model.cv_metrics(t.folds, {"maxIter": 3}).orderBy("fold").collect()
     assert [r.fold for r in got] == [1, 2, 3, 4, 5]

@@ -155,6 +155,16 @@ def test_pitches_are_never_sorted_for_the_summary(spark):
     assert "SortAggregate" not in plan
 
 
+def test_date_filter_and_columns_reach_the_files(spark):
+    from harness import DATA
+
+    from moundworks.plans.layers import layers
+    rows = bronze.in_range(layers(spark, DATA).summary, day(0), day(30)).select("pitcher_id", "csw_rate")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(game_date" in plan
+    assert "ReadSchema: struct<pitcher_id:int,game_date:date,csw_rate:double>" in plan
+
+
 def test_mix_shares_add_up(spark):
     from pyspark.sql import functions as F
     df = pitches(spark, [{"pitch_type": t} for t in ("FF", "FF", "SL", None)])
