@@ -467,7 +467,7 @@ def fold_ranges(t):
 
 @query
 def cv_metrics(t):
-    return model.cv_metrics(t.folds, {"maxIter": 10})
+    return model.cv_metrics(t.folds, {"maxIter": 5})
 
 
 @query
