@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from moundworks.operators import gold, model, rolling  # noqa: E402
 from moundworks.plans import layers  # noqa: E402
 from moundworks.plans.queries import QUERIES  # noqa: E402
-from moundworks.sources.store import durable  # noqa: E402
+from moundworks.sources.store import durable, release  # noqa: E402
 
 HEADLINE = ["pitches_clean", "pitcher_game_summary", "rolling_30d", "batter_game_summary", "pitch_mix",
             "pitcher_game_fanout", "leaderboard", "anomaly_z"]
@@ -58,6 +58,7 @@ def main() -> None:
 
     def from_raw(name):
         layers.forget()
+        release(spark)
         noop(QUERIES[name](spark, sf_dir))
 
     for name in HEADLINE:
@@ -81,6 +82,7 @@ def main() -> None:
         "metric": "headline_total_seconds", "value": round(sum(results.values()), 3), "unit": "sec",
         "queries": results, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    release(spark)
     spark.stop()
 
 

@@ -27,18 +27,33 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_INTERMEDIATE: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result has several readers: it is computed once, every reader
     sees the same rows even after executors were lost, and each reader scans
-    only the columns it needs.
+    only the columns it needs. ``release`` drops these tables again.
     """
     path = scratch_path(df.sparkSession, "table")
+    _INTERMEDIATE.append(path)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Drop the intermediate tables of this session, once no result that reads
+    them is needed any more. Returns how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = len(_INTERMEDIATE)
+    while _INTERMEDIATE:
+        path = jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return dropped
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never an existing one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

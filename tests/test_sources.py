@@ -1,6 +1,7 @@
 import json
 from datetime import date
 
+import pytest
 from frames import by, day
 from pyspark.sql import functions as F
 
@@ -114,6 +115,19 @@ def test_view_and_table(spark):
     assert spark.sql("SELECT count(*) AS n FROM some_batch").first().n == 3
 
 
+def test_release_drops_only_intermediate_tables(spark, monkeypatch):
+    monkeypatch.setattr(store, "_INTERMEDIATE", [])
+    kept = store.scratch_path(spark, "kept")
+    store.write_table(spark.range(3), kept)
+    table = store.durable(spark.range(4))
+    path = store._INTERMEDIATE[0]
+    assert table.count() == 4 and store.release(spark) == 1 and store.release(spark) == 0
+    assert spark.read.parquet(kept).count() == 3
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
 def test_replace_catalog_table(spark):
     for n in (2, 5):
         store.save_as_table(spark.range(n), "moundworks_test_table")
@@ -145,6 +159,5 @@ def test_cluster_needs_a_shared_folder():
     class Session:
         conf, sparkContext = Conf(), Context()
 
-    import pytest
     with pytest.raises(RuntimeError):
         store.shared_dir(Session())
