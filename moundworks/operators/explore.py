@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moundworks import constants as K
 from moundworks.functions import rules
 from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled
-from moundworks.operators.ordering import join_null_safe, ordered_index
+from moundworks.operators.ordering import bounded_index, join_null_safe
 from moundworks.operators.rolling import last_n
 from moundworks.operators.silver import one_per_player
 
@@ -87,7 +87,7 @@ def game_rows(named: DataFrame, game_pk: int | None = None, day=None) -> DataFra
     if day is not None:
         rows = rows.filter(F.col("game_date") == F.lit(day))
     order = [F.col("csw_rate").desc_nulls_last(), F.col("pitcher_id").asc()]
-    placed = ordered_index(rows, order, ["game_pk", "game_date"], "csw_place")
+    placed = bounded_index(rows, order, ["game_pk", "game_date"], "csw_place")
     return placed.withColumn("csw_place", F.col("csw_place") + 1)
 
 

@@ -8,7 +8,7 @@ from moundworks.constants import GAME_KEY
 from moundworks.functions import rules
 from moundworks.functions.numeric import ratio, rnd, scaled, sql_ratio, sql_rnd
 from moundworks.operators.explore import exact_mean
-from moundworks.operators.ordering import MAX_GROUP_ROWS, trailing_frame
+from moundworks.operators.ordering import BLOCK_ROWS, trailing_frame
 
 
 def velo_vs_season(summary: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def velo_vs_season(summary: DataFrame) -> DataFrame:
     return summary.select(*GAME_KEY, "avg_velo", "season_avg_velo", rnd(diff, 2).alias("velo_vs_season_avg"))
 
 
-def days_rest(summary: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, stored: bool = False) -> DataFrame:
+def days_rest(summary: DataFrame, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """Days since the pitcher's previous game and that game's pitch count."""
 
     def columns(w):
@@ -26,7 +26,7 @@ def days_rest(summary: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, stored:
         }
 
     rows = summary.select(*GAME_KEY, "total_pitches")
-    return trailing_frame(rows, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, max_group_rows, stored)
+    return trailing_frame(rows, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, block_rows, stored)
 
 
 def team_trends(summary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from moundworks.constants import FEATURES, GAME_KEY, TARGET
 from moundworks.functions import rules
 from moundworks.functions.numeric import rnd
-from moundworks.operators.ordering import MAX_GROUP_ROWS, ordered_index, trailing_frame
+from moundworks.operators.ordering import BLOCK_ROWS, ordered_index, trailing_frame
 from moundworks.sources.store import durable, shared_dir
 
 # --- fixed values: settings of the boosted trees ------------------------------
@@ -27,13 +27,13 @@ SAME_GAME = ["avg_spin", "avg_h_break", "avg_v_break", "stuff_diversity", "zone_
              "barrel_rate_allowed", "avg_xwoba_allowed", "total_pitches", "velo_vs_30d_avg", "whiff_rate_delta"]
 
 
-def lag_features(summary: DataFrame, max_group_rows: int = MAX_GROUP_ROWS, stored: bool = False) -> DataFrame:
+def lag_features(summary: DataFrame, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """Replace what is only known after the game by the previous start's value."""
 
     def columns(w):
         return {c: F.lag(c).over(w) for c in SAME_GAME}
 
-    return trailing_frame(summary, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, max_group_rows, stored)
+    return trailing_frame(summary, ["pitcher_id"], ["game_date", "game_pk"], 1, columns, block_rows, stored)
 
 
 def training_rows(summary: DataFrame, lagged: bool = False, stored: bool = False) -> DataFrame:
@@ -56,14 +56,13 @@ def feature_matrix(rows: DataFrame) -> DataFrame:
     return rows.na.fill({k: v for k, v in medians.items() if v is not None})
 
 
-def time_series_folds(rows: DataFrame, n: int = FOLDS, by_date: bool = False,
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def time_series_folds(rows: DataFrame, n: int = FOLDS, by_date: bool = False, stored: bool = False) -> DataFrame:
     """Mark each row with the fold that validates on it.
 
     Rows in time order are cut into n + 1 parts; the n last ones have equal size
     and are the validation parts 1..n, the first one is 0. Fold t trains on all
     rows with ``val_fold < t``, so no row is copied. With ``by_date`` whole days
-    are cut instead of rows.
+    are cut instead of rows. ``stored`` says that ``rows`` reads files.
     """
     if by_date:
         # one row per calendar day
@@ -72,8 +71,8 @@ def time_series_folds(rows: DataFrame, n: int = FOLDS, by_date: bool = False,
         numbered = days.withColumn("row_idx", (F.row_number().over(w) - 1).cast("bigint")).drop("_rows")
         size, unit = numbered.count(), numbered
     else:
-        unit = durable(ordered_index(rows, ["game_date", "pitcher_id", "game_pk"], max_group_rows=max_group_rows))
-        size = unit.count()
+        unit = ordered_index(rows, ["game_date", "pitcher_id", "game_pk"], stored=stored)
+        size = rows.count()
     part = size // (n + 1)
     start = size - n * part
     fold = F.when(F.col("row_idx") >= start, F.floor((F.col("row_idx") - start) / max(part, 1)) + 1).otherwise(0)

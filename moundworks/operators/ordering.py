@@ -1,11 +1,10 @@
-"""Row positions and trailing row frames that survive one huge group.
-
-A window over ``partitionBy(key)`` puts a whole key into one task. That is the
-right plan while the largest key is small, and the wrong one when a single key
-holds a third of the table. Both operators here measure the largest key first
-(a column-pruned, map-side combined count) and take the plain window up to
-``max_group_rows``. Beyond that they cut every key into range slices, so no
-task ever holds more than a slice.
+"""Row positions and trailing row frames, one plan for each.
+
+A window over ``partitionBy(key)`` puts a whole key into one task. That is right
+only where nature bounds a key, as a game is bounded (``bounded_index``). Where a
+key can hold any share of the table (a pitcher, a shard, the table itself), the
+other operators cut it into range slices and blocks, at every size, so no task ever
+holds more than a slice or a block.
 """
 
 from collections.abc import Callable
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from moundworks.sources.store import durable
 
-MAX_GROUP_ROWS = 1_000_000
+#: Consecutive rows of a key that one window holds in ``trailing_frame``.
+BLOCK_ROWS = 100_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -27,44 +27,35 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group; reads only the group columns."""
-    counts = df.groupBy(*group).agg(F.count("*").alias("n")) if group else df.agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def _order(cols: list[str | Column]) -> list[Column]:
     """Sort columns: names sort ascending with nulls first, Columns as they say."""
     return [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in cols]
 
 
+def bounded_index(df: DataFrame, order: list[str | Column], group: list[str], out: str = "row_idx") -> DataFrame:
+    """Zero-based position in a group whose size nature bounds, such as a game."""
+    w = Window.partitionBy(*group).orderBy(*_order(order))
+    return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+
+
 def ordered_index(
     df: DataFrame,
     order: list[str | Column],
     group: list[str] | None = None,
     out: str = "row_idx",
-    max_group_rows: int = MAX_GROUP_ROWS,
     stored: bool = False,
 ) -> DataFrame:
-    """Zero-based position of each row in its group, ordered by ``order``.
-
-    Without a group the whole table is numbered, always by slices. ``stored``
-    says that ``df`` reads files, so that slicing need not write it first.
+    """Zero-based position of each row in its group, or in the whole table, ordered by ``order``.
+
+    Position = rows of the group in earlier slices + position in the slice.
+    ``stored`` says that ``df`` reads files, so it need not be written first. The
+    running id keeps copies of one row apart, so copies spread over slices too; over
+    stored rows a repeated task gives the same ids. Slice numbers come from a
+    sampled range partitioning, hence the written table: both readers below must
+    see the same slices.
     """
     group = group or []
-    if group and largest_group(df, group) <= max_group_rows:
-        w = Window.partitionBy(*group).orderBy(*_order(order))
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    return _sliced_index(df if stored else durable(df), order, group, out)
-
-
-def _sliced_index(df: DataFrame, order: list[str | Column], group: list[str], out: str) -> DataFrame:
-    """Position = rows of the group in earlier slices + position in the slice.
-
-    The running id keeps copies of one row apart, so copies spread over slices
-    too; over stored rows a repeated task gives the same ids. Slice numbers come from a sampled range partitioning, hence the written
-    table: both readers below must see the same slices.
-    """
+    df = df if stored else durable(df)
     marked = df.withColumn("_copy", F.monotonically_increasing_id())
     slices = max(
         int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
@@ -96,24 +87,18 @@ def trailing_frame(
     order: list[str | Column],
     rows_back: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
     stored: bool = False,
 ) -> DataFrame:
     """Add window columns that look at most ``rows_back`` rows back.
 
-    ``columns(w)`` gets the ordered window and returns the new columns. When a
-    key is too large for one task, it is cut into blocks of consecutive rows;
-    the last ``rows_back`` rows of a block are also sent to the next block, only
-    to be looked at, and dropped afterwards. ``stored`` says that ``df`` reads
-    files; otherwise it is written first, as it is read more than once.
+    ``columns(w)`` gets the ordered window and returns the new columns. Every key is
+    cut into blocks of consecutive rows; the last ``rows_back`` rows of a block are
+    also sent to the next block, only to be looked at, and dropped afterwards.
+    ``stored`` says that ``df`` reads files; otherwise it is written first.
     """
-    base = df if stored else durable(df)
-    if largest_group(base, keys) <= max_group_rows:
-        w = Window.partitionBy(*keys).orderBy(*_order(order))
-        return base.withColumns(columns(w))
-
-    block = max(max_group_rows, rows_back)
-    placed = ordered_index(base, order, keys, "_pos", max_group_rows, stored=True).withColumn(
+    block = max(block_rows, rows_back)
+    placed = ordered_index(df, order, keys, "_pos", stored).withColumn(
         "_block", F.floor(F.col("_pos") / block).cast("bigint")
     )
     near_end = (F.col("_pos") % block) >= (block - rows_back)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled, sql_ratio, sql_rnd, sql_scaled
-from moundworks.operators.ordering import MAX_GROUP_ROWS, join_null_safe, trailing_frame
+from moundworks.operators.ordering import BLOCK_ROWS, join_null_safe, trailing_frame
 
 # summary column -> digits it is rounded to
 ROLLED = {"avg_velo": 2, "whiff_rate": 4, "csw_rate": 4}
@@ -103,7 +103,7 @@ def rolling_rows(
     n: int = 7,
     min_rows: int = 2,
     order: tuple = ("game_date", "game_pk"),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
     stored: bool = False,
 ) -> DataFrame:
     """Mean of the last ``n`` rows, this one included; null with too few values."""
@@ -117,7 +117,7 @@ def rolling_rows(
             out[f"{c}_{n}g"] = F.when(k >= min_rows, rnd(mean_of_scaled(F.sum(v).over(frame), k, d), d))
         return out
 
-    return trailing_frame(summary, [key], list(order), n - 1, columns, max_group_rows, stored)
+    return trailing_frame(summary, [key], list(order), n - 1, columns, block_rows, stored)
 
 
 def rolling_prior(
@@ -126,7 +126,7 @@ def rolling_prior(
     key: str = "pitcher_id",
     n: int = 6,
     order: tuple = ("game_date", "game_pk"),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
     stored: bool = False,
 ) -> DataFrame:
     """Mean of the ``n`` previous rows; missing rows count as the baseline column."""
@@ -141,7 +141,7 @@ def rolling_prior(
             out[f"prior_{n}_{c}"] = rnd(mean_of_scaled(total + padding, F.lit(n), d), d)
         return out
 
-    return trailing_frame(summary, [key], list(order), n, columns, max_group_rows, stored)
+    return trailing_frame(summary, [key], list(order), n, columns, block_rows, stored)
 
 
 def last_n(df: DataFrame, key: str, n: int, order: tuple = ("game_date", "game_pk"),

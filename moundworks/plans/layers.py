@@ -65,7 +65,7 @@ class Layers:
 
     @cached_property
     def folds(self) -> DataFrame:
-        return durable(model.time_series_folds(self.training))
+        return durable(model.time_series_folds(self.training, stored=True))
 
     @cached_property
     def fitted(self):

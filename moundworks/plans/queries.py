@@ -452,7 +452,7 @@ def feature_matrix(t):
 
 @query
 def time_series_folds(t):
-    return model.time_series_folds(t.training).select(*GAME_KEY, TARGET, "row_idx", "val_fold")
+    return model.time_series_folds(t.training, stored=True).select(*GAME_KEY, TARGET, "row_idx", "val_fold")
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.operators.ordering import MAX_GROUP_ROWS, ordered_index
+from moundworks.operators.ordering import bounded_index
 from moundworks.sources.schemas import FEED_COLUMNS, RENAMES
 
 
@@ -40,9 +40,7 @@ def conform(raw: DataFrame) -> DataFrame:
     )
 
 
-def add_pitch_key(
-    df: DataFrame, drop_exact_duplicates: bool = False, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def add_pitch_key(df: DataFrame, drop_exact_duplicates: bool = False) -> DataFrame:
     """Deterministic ``pitch_id`` = game_pk, game_date and position in the game.
 
     The position follows the order of all columns, so a repeated download gives
@@ -52,7 +50,7 @@ def add_pitch_key(
     if drop_exact_duplicates:
         rows = rows.distinct()
     order = [c for c in rows.columns if c not in ("game_pk", "game_date")]
-    placed = ordered_index(rows, order, ["game_pk", "game_date"], "_pos", max_group_rows)
+    placed = bounded_index(rows, order, ["game_pk", "game_date"], "_pos")
     key = F.concat_ws("_", F.col("game_pk").cast("string"), F.col("game_date").cast("string"),
                       F.col("_pos").cast("string"))
     return placed.withColumn("pitch_id", key).drop("_pos")

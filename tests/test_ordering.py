@@ -7,7 +7,7 @@ from frames import day
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from moundworks.operators.ordering import ordered_index, trailing_frame
+from moundworks.operators.ordering import bounded_index, ordered_index, trailing_frame
 from moundworks.operators.rolling import rolling_prior, rolling_rows
 
 
@@ -33,34 +33,34 @@ def test_positions(games, group):
     order = ["game_date", "game_pk"]
     w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     want = games.withColumn("row_idx", (F.row_number().over(w) - 1).cast("bigint"))
-    got = ordered_index(games, order, group, max_group_rows=20)
+    got = ordered_index(games, order, group)
     assert rows_of(got.select(*want.columns)) == rows_of(want)
 
 
 def test_positions_of_copies(spark):
     copies = spark.createDataFrame([(1, "a")] * 500 + [(1, "b")] * 3, "g int, v string")
-    got = ordered_index(copies, ["v"], ["g"], max_group_rows=10).collect()
+    got = ordered_index(copies, ["v"], ["g"]).collect()
     assert sorted(r.row_idx for r in got) == list(range(503))
     assert {r.v for r in got if r.row_idx < 500} == {"a"}
 
 
 def test_descending_positions(games):
     order = [F.col("avg_xwoba").desc_nulls_last(), F.col("game_pk").asc()]
-    plain = ordered_index(games, order, ["batter_id"])
-    assert rows_of(ordered_index(games, order, ["batter_id"], max_group_rows=15).select(*plain.columns)) == rows_of(plain)
+    plain = bounded_index(games, order, ["batter_id"])
+    assert rows_of(ordered_index(games, order, ["batter_id"]).select(*plain.columns)) == rows_of(plain)
 
 
 @pytest.mark.parametrize("limit", [6, 10, 64])
 def test_rolling_rows_in_blocks(games, limit):
     plain = rolling_rows(games, {"avg_xwoba": 4})
-    cut = rolling_rows(games, {"avg_xwoba": 4}, max_group_rows=limit)
+    cut = rolling_rows(games, {"avg_xwoba": 4}, block_rows=limit)
     assert rows_of(cut.select(*plain.columns)) == rows_of(plain)
 
 
 def test_rolling_prior_in_blocks(games):
     spec = {"avg_xwoba": ("base", 4)}
     plain = rolling_prior(games, spec, key="batter_id")
-    cut = rolling_prior(games, spec, key="batter_id", max_group_rows=7)
+    cut = rolling_prior(games, spec, key="batter_id", block_rows=7)
     assert rows_of(cut.select(*plain.columns)) == rows_of(plain)
 
 
@@ -69,7 +69,7 @@ def test_lag_in_blocks(games):
         return {"before": F.lag("game_pk").over(w)}
 
     plain = trailing_frame(games, ["batter_id"], ["game_date", "game_pk"], 1, columns)
-    cut = trailing_frame(games, ["batter_id"], ["game_date", "game_pk"], 1, columns, max_group_rows=5)
+    cut = trailing_frame(games, ["batter_id"], ["game_date", "game_pk"], 1, columns, block_rows=5)
     assert rows_of(cut.select(*plain.columns)) == rows_of(plain)
 
 
