@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ from moundworks.sources.store import durable
 #: Words of a passage that must not repeat.
 PASSAGE_WORDS = 35
 #: Probes that a task gathers before it packs them by bucket.
-FLUSH_KEYS = 6_000_000
+FLUSH_KEYS = 2_000_000
 #: Buckets for each shuffle partition: a group in memory is a part of a partition.
 BUCKETS_PER_PARTITION = 4
 #: Bits of the bitmap of documents with hits (8 MB, whatever the size of the input).
@@ -90,25 +89,24 @@ _ANCHORS = pa.schema([
 _HITS = pa.schema([("_row", pa.int64()), ("_check", pa.int32()), ("at", pa.int32())])
 
 
-def _anchor_rows(batch_parts, width: int, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batch_parts, buckets: int) -> Iterator[pa.RecordBatch]:
     """Pack what one task has gathered: probes by bucket, and its blocks, settled or not."""
-    keys, rows, checks, at = (np.concatenate(x) for x in zip(*batch_parts))
+    keys, indexed, rows, checks, at = (np.concatenate(x) for x in zip(*batch_parts))
     spread = (keys >> np.uint64(32)) % np.uint64(buckets)
     code = (spread << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
-    indexed = np.flatnonzero(at % block == 0)
     ordered = np.sort(code)
     twice = np.ones(len(ordered), dtype=bool)
     twice[2:] = ordered[2:] != ordered[:-2]
     again = ordered[1:][ordered[1:] == ordered[:-1]]
-    own = code[indexed]
+    own = code[indexed]  # rows, checks and at belong to these
     place = np.searchsorted(again, own)
     settled = place < len(again)
     settled[settled] = again[place[settled]] == own[settled]
     probes = ordered[twice]
-    open_ = indexed[~settled]
-    open_ = open_[np.argsort(code[open_], kind="stable")]
-    waiting = {b: x for b, *x in by_bucket(code[open_] >> np.uint64(32), code[open_], rows[open_], checks[open_], at[open_])}
-    done = indexed[settled]
+    open_ = np.flatnonzero(~settled)
+    open_ = open_[np.argsort(own[open_], kind="stable")]
+    waiting = {b: x for b, *x in by_bucket(own[open_] >> np.uint64(32), own[open_], rows[open_], checks[open_], at[open_])}
+    done = np.flatnonzero(settled)
     out = []
     for b, mine in by_bucket(probes >> np.uint64(32), probes):
         k, r, c, a = waiting.get(b, [np.zeros(0, dtype=np.uint64)] * 4)
@@ -141,14 +139,16 @@ def anchor_hits(docs: DataFrame, text: str, width: int, buckets: int) -> DataFra
                 if not len(starts):
                     continue
                 keys = window_keys(found.keys(), block)[starts]
-                ids, checks = (part.column(c).to_numpy() for c in ("_row", "_check"))
-                parts.append((keys, ids[row], checks[row], (starts - found.first[row]).astype(np.int32)))
+                at = (starts - found.first[row]).astype(np.int32)
+                indexed = np.flatnonzero(at % block == 0)
+                ids, checks = (part.column(c).to_numpy()[row[indexed]] for c in ("_row", "_check"))
+                parts.append((keys, indexed + gathered, ids, checks, at[indexed]))
                 gathered += len(keys)
                 if gathered >= FLUSH_KEYS:
-                    yield from _anchor_rows(parts, width, block, buckets)
+                    yield from _anchor_rows(parts, buckets)
                     parts, gathered = [], 0
         if parts:
-            yield from _anchor_rows(parts, width, block, buckets)
+            yield from _anchor_rows(parts, buckets)
 
     def settle(table: pa.Table) -> pa.Table:
         probes = np.sort(joined(table.column("probes"), np.uint32))
