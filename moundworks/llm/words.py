@@ -57,12 +57,17 @@ def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 2**64))
 
 
-def range_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
-    """sum of values[start + i] * base^i over each range, modulo 2^64."""
+def prefix_sums(values: np.ndarray, base: np.uint64) -> np.ndarray:
+    """sum of values[i] * base^i up to each place, modulo 2^64."""
     total = np.empty(len(values) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(values * _powers(base, len(values)), out=total[1:])
-    return (total[end] - total[start]) * _powers(_inverse(base), len(values) + 1)[start]
+    return total
+
+
+def between(total: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
+    """sum of values[start + i] * base^i over each range, from the prefix sums."""
+    return (total[end] - total[start]) * _powers(_inverse(base), len(total))[start]
 
 
 @dataclass
@@ -83,15 +88,38 @@ class Split:
 
     def keys(self) -> np.ndarray:
         """64-bit key of each word."""
-        out = np.empty(len(self.start), dtype=np.uint64)
+        return self.keys_of([self.end])[0]
+
+    def prefix_keys(self, length: int) -> np.ndarray:
+        """Key of the first ``length`` bytes of each word; of the whole word if it is shorter."""
+        return self.keys_of([np.minimum(self.end, self.start + length)])[0]
+
+    def keys_of(self, ends: list[np.ndarray]) -> list[np.ndarray]:
+        """Keys of the ranges from each word's start to each array of ends."""
+        out = [np.empty(len(self.start), dtype=np.uint64) for _ in ends]
         at = 0
-        while at < len(out):
+        while at < len(self.start):
             low = self.start[at]
             stop = max(at + 1, int(np.searchsorted(self.end, low + _STEP, side="right")))
             part = _BYTE_VALUES[self.data[low:self.end[stop - 1]]]
-            out[at:stop] = range_sums(part, self.start[at:stop] - low, self.end[at:stop] - low, _BASE)
+            total = prefix_sums(part, _BASE)
+            for keys, end in zip(out, ends):
+                keys[at:stop] = between(total, self.start[at:stop] - low, end[at:stop] - low, _BASE)
             at = stop
-        return mixed(out + (self.end - self.start).astype(np.uint64))
+        return [mixed(keys + (end - self.start).astype(np.uint64)) for keys, end in zip(out, ends)]
+
+
+def key_of(word: bytes) -> np.uint64:
+    """The key that ``Split.keys`` gives this word."""
+    data = np.frombuffer(word, dtype=np.uint8)
+    return Split(data, np.array([0]), np.array([len(data)]), np.array([0, 1])).keys()[0]
+
+
+def member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def split(column: pa.Array, parts: np.ndarray = SPACE, lower: bool = False) -> Split:
@@ -121,7 +149,8 @@ def window_keys(words: np.ndarray, width: int, second: bool = False) -> np.ndarr
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     at = np.arange(n)
-    return mixed(range_sums(words, at, at + width, _WINDOW_BASES[second]))
+    base = _WINDOW_BASES[second]
+    return mixed(between(prefix_sums(words, base), at, at + width, base))
 
 
 def window_rows(first: np.ndarray, width: int) -> np.ndarray:
