@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import map_batches, text_steps
-from moundworks.llm.substrings import row_keys
+from moundworks.llm.rows import numbered_columns, row_keys
 from moundworks.llm.words import NOT_ALNUM, Split, split, window_keys, window_rows
 from moundworks.sources.store import durable
 
@@ -161,6 +161,26 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     is hit; an empty table gives no rows. Other columns, whatever they are called, are
     not read.
     """
+    scanned, verdicts = _verdicts(docs, items, key, text, item_key, item_text, width, shingle_words)
+    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
+    return scanned.join(verdicts, ["_row", "_check"], "left").select(
+        F.col("_id").alias(key), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), names.alias("items"),
+    )
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+                   item_text: str = "text", width: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any word that ``contamination`` calls hit, unchanged. Columns may have any names."""
+    plain, name = numbered_columns(docs)
+    _, verdicts = _verdicts(plain, items, name[key], name[text], item_key, item_text, width, shingle_words)
+    keyed = plain.select("*", *row_keys(name[key], name[text]))
+    return keyed.join(verdicts.select("_row", "_check"), ["_row", "_check"], "left_anti").drop("_row", "_check").toDF(*docs.columns)
+
+
+def _verdicts(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int,
+              shingle_words: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its n_words, and the rows with a hit: _row, _check, n_hit, items."""
     windows = durable(item_windows(items, item_key, item_text, width, shingle_words))
     windows = windows.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null")))
     sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle_words))).distinct().collect())  # 1 to shingle_words
@@ -199,9 +219,4 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             (acc["n"] + F.greatest(F.lit(0), s["begin"] + s["size"] - F.greatest(acc["end"], s["begin"]))).alias("n"),
             F.greatest(acc["end"], s["begin"] + s["size"]).alias("end")),
         lambda acc: acc["n"].cast("bigint"))
-    verdicts = spans.join(listed, ["_row", "_check"]).select("_row", "_check", covered.alias("n_hit"), "items")
-    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
-    return scanned.join(verdicts, ["_row", "_check"], "left").select(
-        F.col("_id").alias(key), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), names.alias("items"),
-    )
+    return scanned, spans.join(listed, ["_row", "_check"]).select("_row", "_check", covered.alias("n_hit"), "items")

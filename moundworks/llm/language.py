@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moundworks.llm.batches import map_batches, text_steps
+from moundworks.llm.rows import numbered_columns
 
 #: Cells per n-gram length, lengths, and languages that a model may have.
 CELLS, ORDERS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 256
 #: n-grams whose evidence the score may use in full; more of them are averaged down to so many.
 EVIDENCE = 60
 UNKNOWN = "und"
+#: Score from which a document's language counts as known.
+MIN_SCORE = 0.5
 
 _GAP = 32
 
@@ -145,8 +148,9 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", cells
     return LanguageModel(languages, np.log(table).astype(np.float32))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; same-named columns of ``docs`` are replaced.
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score, or what ``names`` says; columns of ``docs`` with
+    these names are replaced.
 
     lang_pred is ``und`` and score 0 where the text is null or has no letter, or where
     the model knows no language. The score is the posterior under equal priors, with
@@ -154,21 +158,32 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     input comes back, repeated ones too; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = T.StructType([*docs.select(*columns).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    columns = [c for c in docs.columns if c not in names]
+    out = T.StructType([*docs.select(*columns).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def step(batch: pa.RecordBatch):
         for part in text_steps(batch, text):
             if shared.value.languages:
-                names, score = shared.value.predict(part.column(text))
+                found, score = shared.value.predict(part.column(text))
             else:
-                names, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)],
-                                             names=[*part.schema.names, "lang_pred", "score"])
+                found, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)],
+                                             names=[*part.schema.names, *names])
 
     return map_batches(docs.select(*columns), step, out)
 
 
+def in_known_language(docs: DataFrame, model: LanguageModel, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language the model tells with at least ``min_score``, unchanged.
+
+    Texts that are null or have no letter go. Columns may have any names.
+    """
+    plain, name = numbered_columns(docs)
+    found = identify(plain, model, name[text], ("_language", "_score"))
+    kept = found.filter((F.col("_language") != UNKNOWN) & (F.col("_score") >= min_score))
+    return kept.drop("_language", "_score").toDF(*docs.columns)
+
+
 def held_out(key: str, folds: int, fold: int) -> Column:
     """Whether a row belongs to the fold that is never learned from; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -21,10 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import map_batches, text_steps, texts
+from moundworks.llm.rows import numbered_columns, row_keys
 from moundworks.sources.store import durable
 
 BITS = 64
@@ -75,15 +76,17 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle_words: int) -> DataFrame:
-    """(key, fp) for each row; fp is the fingerprint as a signed 64-bit integer."""
+    """(_id, _row, _check, fp) for each row; fp is the fingerprint as a signed 64-bit integer."""
     id_type = docs.schema[key].dataType.simpleString()
 
     def step(batch: pa.RecordBatch):
         for part in text_steps(batch, text):
             found = np.array([fingerprint(t, shingle_words) for t in texts(part, text)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(found.view(np.int64))], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "_row", "_check")), pa.array(found.view(np.int64))],
+                                             names=["_id", "_row", "_check", "fp"])
 
-    return map_batches(docs.select(key, text), step, f"`{key}` {id_type}, fp bigint")
+    keyed = docs.select(F.col(key).alias("_id"), *row_keys(key, text), text)
+    return map_batches(keyed, step, f"_id {id_type}, _row bigint, _check int, fp bigint")
 
 
 def tile_links(fps: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,10 +218,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     key takes part but is no component_id unless all keys of its component are null.
     An empty table gives no rows. Other columns, whatever they are called, are not read.
     """
+    prints, placed = _grouped(docs, key, text, shingle_words, radius)
+    names = placed.groupBy("root").agg(F.min("low._id").alias("component_id"))
+    named = placed.join(names, "root").select("fp", "component_id")
+    found = prints.join(named, "fp")
+    return found.select(F.col("_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, shingle_words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and of each distinct one its smallest row (low) and its component (root)."""
     prints = durable(fingerprints(docs, key, text, shingle_words))
-    smallest = durable(prints.groupBy("fp").agg(F.min(key).alias("low")))
+    row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "_check")
+    smallest = durable(prints.groupBy("fp").agg(F.min(row).alias("low")))
     roots = components(links(smallest.select("fp"), radius))
-    placed = smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, unchanged: that with the smallest key (nulls last), and of
+    repeated rows any one. Columns may have any names."""
+    plain, name = numbered_columns(docs)
+    _, placed = _grouped(plain, name[key], name[text], shingle_words, radius)
+    kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low._row", "low._check")
+    keyed = plain.select("*", *row_keys(name[key], name[text])).join(kept, ["_row", "_check"])
+    first = F.row_number().over(Window.partitionBy("_row", "_check").orderBy(F.lit(0)))
+    return keyed.withColumn("_first", first).filter("_first = 1").drop("_row", "_check", "_first").toDF(*docs.columns)

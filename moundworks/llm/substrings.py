@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import map_batches, records, text_steps, texts
-from moundworks.llm.words import SPACE, split, window_keys, window_rows
+from moundworks.llm.rows import numbered_columns, row_keys
+from moundworks.llm.words import split, window_keys, window_rows
 from moundworks.sources.store import durable
 
 #: Words of a passage that must not repeat.
@@ -42,14 +43,6 @@ BUCKETS_PER_PARTITION = 4
 BITMAP_BITS = 1 << 26
 
 
-def row_keys(key: str, text: str) -> list[Column]:
-    """96 bits that name a row by its id and text; repeated rows share them, and their result."""
-    return [
-        F.xxhash64(F.col(key), F.col(text)).alias("_row"),
-        F.hash(F.col(text), F.col(key), F.lit(5)).alias("_check"),
-    ]
-
-
 def row_bitmap(rows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """A set of ``_row`` values as a bitmap of fixed size, put together by bit_or on the executors."""
     slot = F.pmod(F.col("_row"), F.lit(bits))
@@ -368,15 +361,17 @@ def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     White space between kept words stays as it was. A document without repeats, or
     with a null text, is unchanged; one that is all repeats keeps an empty text.
+    Columns may have any names.
     """
-    found, rest = with_spans(docs, key, text, width)
-    columns = docs.columns
+    plain, name = numbered_columns(docs)
+    column, columns = name[text], plain.columns
+    found, rest = with_spans(plain, name[key], column, width)
 
     def step(batch: pa.RecordBatch):
-        for part in text_steps(batch, text):
-            cut = [t if t is None or not len(s) else kept_text(t, s) for t, s in zip(texts(part, text), _spans_of(part))]
-            at = part.schema.get_field_index(text)
+        for part in text_steps(batch, column):
+            cut = [t if t is None or not len(s) else kept_text(t, s) for t, s in zip(texts(part, column), _spans_of(part))]
+            at = part.schema.get_field_index(column)
             part = part.set_column(at, part.schema.field(at), pa.array(cut, type=part.schema.field(at).type))
             yield part.select(columns)
 
-    return map_batches(found, step, docs.schema).unionByName(rest.select(*columns))
+    return map_batches(found, step, plain.schema).unionByName(rest.select(*columns)).toDF(*docs.columns)
