@@ -56,19 +56,17 @@ class Grams:
 def grams(column: pa.Array, cells: int = CELLS) -> Grams:
     """Cells of the 1- to 3-grams of each row, each length in a range of its own."""
     rows = ["" if t is None else t for t in column.to_pylist()]
-    points = np.frombuffer(" ".join(rows).encode("utf-32-le"), dtype=np.uint32)
+    points = np.frombuffer("".join([t + " " for t in rows]).encode("utf-32-le"), dtype=np.uint32)
     sizes = np.array([len(t) + 1 for t in rows])
     code = _TABLE[np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
         ch = chr(points[i])
         code[i] = ord(ch.lower()[0]) if ch.isalpha() else _GAP
-    row = np.repeat(np.arange(len(rows)), sizes)[:len(code)]
+    row = np.repeat(np.arange(len(rows)), sizes)
     gap = code == _GAP
     letters = np.bincount(row[~gap], minlength=len(rows))
     keep = ~gap
-    keep[1:] |= ~gap[:-1]  # the first gap after a letter stays
-    if len(keep):
-        keep[0] = True
+    keep[1:] |= ~gap[:-1]  # of a run of gaps, the first one after a letter stays
     code, row = code[keep], row[keep]
     out, owners = [], []
     for n in ORDERS:
