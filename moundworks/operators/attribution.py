@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from moundworks.constants import FEATURES, GAME_KEY
 from moundworks.functions import rules
 from moundworks.functions.numeric import rnd
-from moundworks.sources.store import scratch_path
+from moundworks.sources.store import scratch_path, ship_package
 
 ROWS_PER_STEP = 256
 
@@ -119,6 +119,7 @@ def shapley(x: np.ndarray, packed: list[tuple], width: int) -> np.ndarray:
 def contributions(model: PipelineModel, rows: DataFrame, keep: list[str] = GAME_KEY) -> DataFrame:
     """Per row the unrounded prediction, the base value and one contribution
     per feature; they add up to the prediction."""
+    ship_package(rows.sparkSession)
     leaves = leaf_paths(tree_nodes(model).collect())
     packed, base, width = _packed(leaves), base_value(leaves), len(FEATURES)
     doubles = rows.withColumns({c: F.col(c).cast("double") for c in FEATURES})
@@ -172,11 +173,11 @@ def attribution_summary(model: PipelineModel, rows: DataFrame, last: int | None
     )
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """How often each feature splits a node, most used first."""
+def feature_importance(nodes: DataFrame) -> DataFrame:
+    """How often each feature splits a node, most used first, from ``tree_nodes``."""
     names = F.array(*[F.lit(n) for n in FEATURES])
     return (
-        tree_nodes(model)
+        nodes
         .filter("feature >= 0")
         .groupBy(F.element_at(names, F.col("feature") + 1).alias("feature"))
         .agg(F.count("*").alias("importance"))

@@ -47,8 +47,12 @@ def with_player(summary: DataFrame, player_rows: DataFrame, position: str = "SP"
 
 
 def with_game(summary: DataFrame, game_rows: DataFrame) -> DataFrame:
-    lookup = game_rows.select("game_pk", "home_team", "away_team", "home_score", "away_score")
-    return summary.join(lookup, "game_pk", "left")
+    """Teams and score of each row's game. A game resumed on another day has a row per
+    day, so day and teams' game number both have to agree."""
+    lookup = game_rows.groupBy("game_pk", "game_date").agg(
+        F.min(F.struct("home_team", "away_team", "home_score", "away_score")).alias("_game")
+    )
+    return join_null_safe(summary, lookup, ["game_pk", "game_date"]).select(*summary.columns, "_game.*")
 
 
 def with_insight(summary: DataFrame, insights: DataFrame) -> DataFrame:
@@ -139,6 +143,15 @@ def tier_distribution(summary: DataFrame) -> DataFrame:
     )
 
 
+def _most_frequent(columns: list[str]) -> Column:
+    """Name of the largest count column, the first one of equals; null if all are 0."""
+    most = F.greatest(*columns)
+    name = F.lit(None).cast("string")
+    for c in reversed(columns):
+        name = F.when(F.col(c) == most, F.lit(c)).otherwise(name)
+    return F.when(most > 0, name)
+
+
 def leaderboard(named: DataFrame, top: int = 10, by: tuple = ("pitcher_id", "pitcher_name", "team")) -> DataFrame:
     """Best pitchers by mean CSW with their most frequent tier (ties: lowest name)."""
     return (
@@ -149,8 +162,10 @@ def leaderboard(named: DataFrame, top: int = 10, by: tuple = ("pitcher_id", "pit
             exact_mean("whiff_rate").alias("avg_whiff"),
             exact_mean("avg_velo").alias("avg_velo"),
             exact_mean("avg_xwoba_allowed").alias("avg_xwoba"),
-            F.mode("performance_tier", True).alias("best_tier"),
+            *[F.count_if(F.col("performance_tier") == tier).alias(tier) for tier in K.TIERS],
         )
+        .withColumn("best_tier", _most_frequent(sorted(K.TIERS)))
+        .drop(*K.TIERS)
         .orderBy(F.col("avg_csw").desc_nulls_last(), *by)
         .limit(top)
     )

@@ -13,7 +13,6 @@ from moundworks.constants import BATTER_KEY, GAME_KEY
 from moundworks.functions import rules
 from moundworks.functions.numeric import ratio, rnd, sql_ratio, sql_rnd, sql_sample_std
 from moundworks.operators.rolling import with_context
-from moundworks.sources.store import durable
 
 MEASURES = {
     "speed": "CAST(release_speed AS DOUBLE)",
@@ -144,12 +143,16 @@ def pitcher_game_summary(
     days: int = 30,
     season: Column | None = None,
 ) -> DataFrame:
-    """Game metrics with their look-back windows, season means and tier.
+    """Game metrics with their look-back windows, season means and tier, as one plan.
 
-    The windows read the game rows twice (by day, and to join back), so those
-    are written once instead of scanning the pitches twice.
+    The windows read the game rows twice (by day, and to join back). Where pitches
+    are many, write ``pitcher_game_base`` first and give it to ``summary_of``.
     """
-    games = durable(pitcher_game_base(pitches, swing, extras))
+    return summary_of(pitcher_game_base(pitches, swing, extras), days, season)
+
+
+def summary_of(games: DataFrame, days: int = 30, season: Column | None = None) -> DataFrame:
+    """``pitcher_game_summary`` from the rows of ``pitcher_game_base``."""
     return with_context(games, days, season).withColumn(
         "performance_tier", rules.performance_tier(F.col("csw_rate"))
     )
@@ -174,7 +177,7 @@ def pitcher_game_fanout(pitches: DataFrame) -> DataFrame:
     The multiplication is done on the sums, so no pitch is copied. The mix is
     keyed by (pitcher, game) without the date, hence rows without a game drop out.
     """
-    typed = durable(_by_type(pitches.filter("game_pk IS NOT NULL"), rules.SWING_LITERAL))  # read twice
+    typed = _by_type(pitches.filter("game_pk IS NOT NULL"), rules.SWING_LITERAL)  # read twice; one exchange serves both
     mix = typed.groupBy("pitcher_id", "game_pk", "pitch_type").agg(F.expr("double(sum(n)) AS n"))
     spread = mix.groupBy("pitcher_id", "game_pk").agg(
         F.expr("double(count(*)) AS k"), F.expr("ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy")

@@ -1,8 +1,8 @@
 """Boosted-tree model of a pitcher's CSW rate on Spark ML."""
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +93,46 @@ def fold_ranges(folds: DataFrame) -> DataFrame:
     )
 
 
-def _stages(params: dict) -> list:
+def _prepare(rows: DataFrame) -> PipelineModel:
+    """Fill missing features with the exact medians of ``rows``, and assemble the vector."""
+    medians = feature_medians(rows).first().asDict()
+    filled = ", ".join(f"coalesce(double({c}), {float(medians[c] or 0.0)!r}D) AS {c}_f" for c in FEATURES)
+    return PipelineModel([
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}_f" for c in FEATURES], outputCol="features"),
+    ])
+
+
+def _trees(params: dict) -> GBTRegressor:
     # boosting adds to the lineage every round; with a shared folder set, Spark
     # cuts it every ``checkpointInterval`` rounds
     shared_dir(SparkSession.active())
-    filled = [f"{c}_f" for c in FEATURES]
-    return [
-        Imputer(strategy="median", inputCols=FEATURES, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
-        GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params),
-    ]
+    return GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params)
+
+
+def _vectors(prepared: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Features and target, written once in as few files as their size asks for: every
+    round of boosting reads them several times."""
+    return durable(prepared.transform(rows).select("features", TARGET).hint("rebalance"))
 
 
 def train(rows: DataFrame, params: dict | None = None) -> PipelineModel:
-    """Fit on all rows. The imputer stays in the model, so scoring fills nulls
+    """Fit on all rows. The medians stay in the model, so scoring fills nulls
     exactly as training did."""
-    return Pipeline(stages=_stages({**PARAMS, **(params or {})})).fit(rows)
+    prepared = _prepare(rows)
+    trees = _trees({**PARAMS, **(params or {})}).fit(_vectors(prepared, rows))
+    return PipelineModel([*prepared.stages, trees])
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees. They do not depend on how many follow."""
+    jvm, gateway = SparkSession.active().sparkContext._jvm, SparkSession.active().sparkContext._gateway
+    java = model._java_obj
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    for k, (tree, weight) in enumerate(zip(java.trees()[:rounds], java.treeWeights()[:rounds])):
+        trees[k], weights[k] = tree, weight
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights))
 
 
 def best_round(errors: list[float], patience: int) -> int:
@@ -123,21 +147,23 @@ def best_round(errors: list[float], patience: int) -> int:
     return best + 1
 
 
-def _fold_predictions(training: DataFrame, validation: DataFrame, params: dict,
-                      patience: int) -> tuple[DataFrame, int]:
+def fold_predictions(training: DataFrame, validation: DataFrame, params: dict = PARAMS,
+                     patience: int = EARLY_STOP) -> tuple[DataFrame, int]:
     """Predict the validation rows with as many rounds as they justify.
 
-    The first rounds of a fit do not depend on how many follow, so the shorter
-    model is the longer one cut off.
+    Early stopping needs the errors of ``patience`` rounds past the best one, so
+    rounds are fitted in growing portions until those are there or ``maxIter`` is
+    reached; the model kept is the last one cut off after its best round.
     """
-    *prepare, trees = _stages(params)
-    prepared = Pipeline(stages=prepare).fit(training)
-    x, x_val = (prepared.transform(df).select("features", TARGET) for df in (training, validation))
-    model = trees.fit(x)
-    rounds = best_round(model.evaluateEachIteration(x_val, params["lossType"]), patience)
-    if rounds < params["maxIter"]:
-        model = trees.setMaxIter(rounds).fit(x)
-    return model.transform(x_val), rounds
+    prepared = _prepare(training)
+    x, x_val = _vectors(prepared, training), _vectors(prepared, validation)
+    fitted = 0
+    while True:
+        fitted = min(params["maxIter"], max(2 * fitted, 2 * patience))
+        model = _trees({**params, "maxIter": fitted}).fit(x)
+        rounds = best_round(model.evaluateEachIteration(x_val, params["lossType"]), patience)
+        if rounds + patience <= fitted or fitted == params["maxIter"]:
+            return first_rounds(model, rounds).transform(x_val), rounds
 
 
 def cv_metrics(folds: DataFrame, params: dict | None = None, patience: int = EARLY_STOP) -> DataFrame:
@@ -148,7 +174,7 @@ def cv_metrics(folds: DataFrame, params: dict | None = None, patience: int = EAR
     settings = {**PARAMS, **(params or {})}
     scored, rounds = None, []
     for fold in range(1, FOLDS + 1):
-        predicted, kept = _fold_predictions(
+        predicted, kept = fold_predictions(
             folds.filter(F.col("val_fold") < fold), folds.filter(F.col("val_fold") == fold), settings, patience
         )
         rounds.append((fold, kept))
@@ -197,8 +223,9 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]
 
 def training_metadata(rows: DataFrame, metrics: DataFrame, importance: DataFrame,
                       attribution: DataFrame) -> DataFrame:
-    """One row: training size and dates, fold metrics, importances, mean
-    attributions. The nested lists have one entry per fold or feature."""
+    """One row: training size and dates, fold metrics and their means, importances, mean
+    attributions. The nested lists have one entry per fold or feature; ``metrics`` is
+    a stored ``cv_metrics``."""
     facts = rows.agg(F.count("*").alias("n_training_rows"),
                      F.min("game_date").alias("first_date"), F.max("game_date").alias("last_date"))
 
@@ -208,13 +235,13 @@ def training_metadata(rows: DataFrame, metrics: DataFrame, importance: DataFrame
     return facts.select(
         "*",
         listed(metrics).scalar().alias("cv_results"),
+        cv_summary(metrics).select(F.struct("*")).scalar().alias("cv_summary"),
         listed(importance).scalar().alias("feature_importance"),
         listed(attribution).scalar().alias("attribution_summary"),
     )
 
 
-def model_facts(model: PipelineModel) -> DataFrame:
-    """Size and weight of each tree of a fitted model."""
-    trees = model.stages[-1]
-    rows = [(i, float(w), t.depth, t.numNodes) for i, (t, w) in enumerate(zip(trees.trees, trees.treeWeights))]
-    return SparkSession.active().createDataFrame(rows, "tree int, weight double, depth int, nodes int")
+def model_facts(nodes: DataFrame) -> DataFrame:
+    """Size and weight of each tree, from the model's nodes (``attribution.tree_nodes``)."""
+    inner = F.col("leftChild") >= 0
+    return nodes.groupBy("tree").agg(F.first("weights").alias("weight"), F.count("*").alias("nodes"), F.count_if(inner).alias("splits"))

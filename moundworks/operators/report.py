@@ -10,19 +10,18 @@ from moundworks.functions.numeric import rnd
 from moundworks.operators.attribution import attributions
 from moundworks.operators.enrich import pitcher_label, zero
 from moundworks.operators.explore import with_insight
-from moundworks.operators.ordering import join_null_safe
 
 
 def report_features(named: DataFrame, next_start: bool = False) -> DataFrame:
-    """Feature row of a report; missing numbers are zero. ``next_start`` looks
+    """Feature row of a report. A missing number stays missing: the model fills it as it
+    did in training, so a game has one prediction everywhere. ``next_start`` looks
     ahead by taking this game's velocity for the coming look-back mean."""
-    changed = {"whiff_rate_delta": rnd(zero("whiff_rate") - zero("rolling_30d_whiff_rate"), 4)}
-    if next_start:
-        changed["rolling_30d_avg_velo"] = zero("avg_velo")
-    return named.select(
-        *GAME_KEY,
-        *[changed.get(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in FEATURES],
-    )
+    return named.select(*GAME_KEY, *_features(next_start))
+
+
+def _features(next_start: bool) -> list[Column]:
+    source = {"rolling_30d_avg_velo": "avg_velo"} if next_start else {}
+    return [F.col(source.get(c, c)).cast("double").alias(c) for c in FEATURES]
 
 
 def _stats() -> dict[str, Column]:
@@ -67,22 +66,26 @@ def scouting_report(named: DataFrame, insights: DataFrame, model: PipelineModel,
                     next_start: bool = False) -> DataFrame:
     """Nested report per pitcher and game: statistics, prediction with its top
     features, insight, grade and percentile."""
-    predicted = attributions(model, report_features(named, next_start)).select(
-        *GAME_KEY,
-        F.struct(
-            rnd(F.col("prediction"), 4).alias("predicted_csw_rate"),
-            rules.stuff_score(F.col("prediction")).alias("stuff_score"),
-            "top_features",
-        ).alias("model_prediction"),
-    )
-    rows = join_null_safe(with_insight(named, insights), predicted, GAME_KEY)
-    return rows.select(
-        *GAME_KEY,
+    stats = {f"s_{k}": c for k, c in _stats().items()}
+    shown = ["pitcher_name", "opponent", "headline", "key_finding", "concern_flag", "pitch_mix_note", "letter_grade", "percentile"]
+    rows = with_insight(named, insights)
+    rows = rows.select(
+        *GAME_KEY, *_features(next_start),
         pitcher_label().alias("pitcher_name"),
         F.coalesce("opponent", F.lit("Unknown")).alias("opponent"),
-        F.struct(*[c.alias(k) for k, c in _stats().items()]).alias("stats"),
-        F.col("model_prediction").alias("prediction"),
+        *[c.alias(k) for k, c in stats.items()],
         "headline", "key_finding", "concern_flag", "pitch_mix_note",
         rules.letter_grade(zero("csw_rate")).alias("letter_grade"),
         rules.csw_percentile(zero("csw_rate")).alias("percentile"),
     )
+    predicted = attributions(model, rows, keep=[*GAME_KEY, *shown, *stats])
+    return predicted.select(
+        *GAME_KEY, "pitcher_name", "opponent",
+        F.struct(*[F.col(k).alias(k.removeprefix("s_")) for k in stats]).alias("stats"),
+        F.struct(
+            rnd(F.col("prediction"), 4).alias("predicted_csw_rate"),
+            rules.stuff_score(F.col("prediction")).alias("stuff_score"),
+            "top_features",
+        ).alias("prediction"),
+        *shown[2:],
+    )

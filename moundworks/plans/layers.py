@@ -5,11 +5,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.operators import enrich, explore, gold, model, silver
+from moundworks.operators import attribution, enrich, explore, gold, model, silver
 from moundworks.sources import bronze, feed
-from moundworks.sources.store import durable
+from moundworks.sources.store import changed, durable, release
 
-_KNOWN: dict[tuple[str, str], "Layers"] = {}
+_KNOWN: dict[tuple, "Layers"] = {}
 
 
 class Layers:
@@ -40,16 +40,21 @@ class Layers:
     def players(self) -> DataFrame:
         return durable(silver.players(self.silver))
 
+    @cached_property
+    def game_base(self) -> DataFrame:
+        """Game metrics of each pitcher, before windows and names."""
+        return durable(gold.pitcher_game_base(self.silver))
+
     @cached_property
     def summary(self) -> DataFrame:
         """Pitcher-game summary with side and player name."""
-        rows = gold.pitcher_game_summary(self.silver, extras=True)
-        return durable(explore.with_player(rows, self.players))
+        base = durable(gold.pitcher_game_base(self.silver, extras=True))
+        return durable(explore.with_player(gold.summary_of(base), silver.players(self.silver)))
 
     @cached_property
     def batters(self) -> DataFrame:
         rows = gold.batter_game_summary(self.silver)
-        return durable(explore.with_player(rows, self.players, "POS", "batter_id", "batter_name"))
+        return durable(explore.with_player(rows, silver.players(self.silver), "POS", "batter_id", "batter_name"))
 
     @property
     def mix(self) -> DataFrame:
@@ -69,8 +74,16 @@ class Layers:
 
     @cached_property
     def fitted(self):
-        """A small model (20 rounds) for the scoring queries."""
-        return model.train(self.training, {"maxIter": 20})
+        """The model with all its rounds, for the scoring queries."""
+        return model.train(self.training)
+
+    @cached_property
+    def tree_nodes(self) -> DataFrame:
+        return durable(attribution.tree_nodes(self.fitted))
+
+    @cached_property
+    def cv(self) -> DataFrame:
+        return durable(model.cv_metrics(self.folds))
 
     def battery(self) -> DataFrame:
         """Batters with the team they bat for."""
@@ -79,13 +92,19 @@ class Layers:
 
 
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    """Layers of these files in this application, kept for the next query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Layers of these files, kept for the next query of this application; files that
+    have changed since are read again."""
+    key = (spark.sparkContext.applicationId, sf_dir, changed(spark, f"{sf_dir}/lineitem.parquet"))
     if key not in _KNOWN:
         _KNOWN[key] = Layers(spark, sf_dir)
     return _KNOWN[key]
 
 
-def forget() -> None:
-    """Make the next query build everything from the raw files again."""
-    _KNOWN.clear()
+def forget(spark: SparkSession) -> int:
+    """Drop the layers of this application and every table written for them, so that
+    the next query builds everything from the raw files again. Returns how many
+    tables there were."""
+    mine = spark.sparkContext.applicationId
+    for key in [k for k in _KNOWN if k[0] == mine]:
+        del _KNOWN[key]
+    return release(spark)

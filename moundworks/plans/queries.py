@@ -11,6 +11,7 @@ from moundworks.functions import rules
 from moundworks.operators import (
     anomaly, attribution, enrich, explore, extras, gold, model, quality, report, rolling, silver,
 )
+from moundworks.operators.ordering import join_null_safe
 from moundworks.plans.layers import Layers, layers
 from moundworks.sources import bronze, insights, store
 from moundworks.sources.schemas import PITCH_COLUMNS
@@ -58,12 +59,12 @@ def pitches_clean(t):
 
 @query
 def games(t):
-    return silver.games(t.pitches)
+    return silver.games(t.silver)
 
 
 @query
 def players(t):
-    return silver.players(t.pitches)
+    return silver.players(t.silver)
 
 
 @query
@@ -94,43 +95,42 @@ def row_counts(t):
 
 @query
 def pitcher_game_summary(t):
-    return gold.pitcher_game_summary(t.pitches)
+    return gold.summary_of(t.game_base)
 
 
 @query
 def pitcher_game_all_swings(t):
-    return gold.pitcher_game_base(t.pitches, swing=rules.SWING_ALL)
+    return gold.pitcher_game_base(t.silver, swing=rules.SWING_ALL)
 
 
 @query
 def pitcher_game_fanout(t):
-    return gold.pitcher_game_fanout(t.pitches)
+    return gold.pitcher_game_fanout(t.silver)
 
 
 @query
 def batter_game_summary(t):
-    return gold.batter_game_summary(t.pitches)
+    return gold.batter_game_summary(t.silver)
 
 
 @query
 def pitch_mix(t):
-    return gold.pitch_mix(t.pitches)
+    return gold.pitch_mix(t.silver)
 
 
 @query
 def rolling_30d(t):
-    return gold.pitcher_game_summary(t.pitches).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[:5])
+    return gold.summary_of(t.game_base).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[:5])
 
 
 @query
 def season_averages(t):
-    return gold.pitcher_game_summary(t.pitches).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[5:])
+    return gold.summary_of(t.game_base).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[5:])
 
 
 @query
 def season_averages_by_year(t):
-    base = store.durable(gold.pitcher_game_base(t.pitches))
-    return rolling.with_context(base, season=F.year("game_date")).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[5:])
+    return rolling.with_context(t.game_base, season=F.year("game_date")).select(*GAME_KEY, *rolling.CONTEXT_COLUMNS[5:])
 
 
 @query
@@ -161,7 +161,7 @@ def latest_row(t):
 
 @query
 def home_away(t):
-    return gold.pitcher_game_base(t.pitches, extras=True).select(*GAME_KEY, "home_away", "team", "opponent")
+    return gold.pitcher_game_base(t.silver, extras=True).select(*GAME_KEY, "home_away", "team", "opponent")
 
 
 # --- joins and filters -------------------------------------------------------
@@ -418,7 +418,10 @@ def parse_response(t):
 @query
 def insight_upsert(t):
     latest = rolling.latest_row(t.narratives, "pitcher_id").withColumn("concern_flag", F.lit("Reviewed."))
-    return insights.upsert(enrich.insight_rows(t.narratives, FIRST_RUN), enrich.insight_rows(latest, SECOND_RUN))
+    path = store.scratch_path(t.spark, "insights")
+    store.write_table(enrich.insight_rows(t.narratives, FIRST_RUN), path)
+    insights.upsert_path(t.spark, path, enrich.insight_rows(latest, SECOND_RUN))
+    return store.read_table(t.spark, path)
 
 
 @query
@@ -467,12 +470,12 @@ def fold_ranges(t):
 
 @query
 def cv_metrics(t):
-    return model.cv_metrics(t.folds, {"maxIter": 5})
+    return t.cv
 
 
 @query
 def train_model(t):
-    return model.model_facts(t.fitted)
+    return model.model_facts(t.tree_nodes)
 
 
 @query
@@ -485,6 +488,34 @@ def attributions(t):
     return attribution.attributions(t.fitted, t.summary)
 
 
+@query
+def attribution_sums(t):
+    """Contributions and base value add up to the prediction of every game."""
+    rest = F.col("prediction") - F.col("base_value") - F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    return attribution.contributions(t.fitted, t.summary).select(*GAME_KEY, F.round(F.abs(rest), 6).alias("residue"))
+
+
+@query
+def training_size(t):
+    """The part of the training metadata that does not depend on the fit, and how its parts agree."""
+    meta = training_metadata(t)
+    inner = t.tree_nodes.filter("leftChild >= 0").agg(F.count("*")).scalar()
+    counted = F.aggregate("feature_importance", F.lit(0).cast("bigint"), lambda a, f: a + f["importance"])
+    return meta.select(
+        "n_training_rows", "first_date", "last_date", F.size("cv_results").alias("folds"), F.size("attribution_summary").alias("features"),
+        F.forall("cv_results", lambda f: (f["rmse"] >= f["mae"]) & (f["mae"] > 0) & (f["r2"] <= 1)).alias("metrics_in_bounds"),
+        (counted == inner).alias("importance_counts_splits"),
+    )
+
+
+@query
+def report_predictions(t):
+    """Reports and batch scoring give a game one prediction."""
+    shown = report.scouting_report(t.summary, _stored_insights(t), t.fitted).select(*GAME_KEY, F.col("prediction.predicted_csw_rate").alias("shown"))
+    scored = model.score_batch(t.fitted, t.summary)
+    return join_null_safe(shown, scored, GAME_KEY).select(*GAME_KEY, (F.col("shown") == F.col("predicted_csw_rate")).alias("agrees"))
+
+
 @query
 def attribution_summary(t):
     return attribution.attribution_summary(t.fitted, t.summary)
@@ -492,13 +523,13 @@ def attribution_summary(t):
 
 @query
 def feature_importance(t):
-    return attribution.feature_importance(t.fitted)
+    return attribution.feature_importance(t.tree_nodes)
 
 
 @query
 def training_metadata(t):
     return model.training_metadata(
-        t.training, model.fold_ranges(t.folds), attribution.feature_importance(t.fitted),
+        t.training, t.cv, attribution.feature_importance(t.tree_nodes),
         attribution.attribution_summary(t.fitted, t.training))
 
 
@@ -531,6 +562,17 @@ def scouting_report(t):
     return report.scouting_report(t.summary, _stored_insights(t), t.fitted)
 
 
+@query
+def report_json(t):
+    """Reports written as nested JSON, and what a reader of the files finds in them."""
+    path = store.scratch_path(t.spark, "reports")
+    store.write_json(report.scouting_report(t.summary, _stored_insights(t), t.fitted), path)
+    fields = ("pitcher_id bigint, game_pk bigint, game_date date, pitcher_name string, opponent string, letter_grade string, percentile int, "
+              "headline string, stats struct<csw_rate: double, chase_rate: double, performance_tier: string>")
+    found = t.spark.read.schema(fields).json(path)
+    return found.select(*GAME_KEY, "pitcher_name", "opponent", "letter_grade", "percentile", "headline", "stats.*")
+
+
 @query
 def dq_report(t):
     return quality.dq_report(t.summary, t.batters, enrich.insight_rows(t.narratives, FIRST_RUN))
@@ -576,7 +618,7 @@ def team_trends(t):
 
 @query
 def at_bats(t):
-    return extras.at_bats(t.pitches)
+    return extras.at_bats(t.silver)
 
 
 @query
@@ -586,9 +628,9 @@ def pitch_mix_text(t):
 
 @query
 def contact_by_type(t):
-    return extras.contact_by_type(t.pitches)
+    return extras.contact_by_type(t.silver)
 
 
 @query
 def whiff_by_zone(t):
-    return extras.whiff_by_zone(t.pitches)
+    return extras.whiff_by_zone(t.silver)

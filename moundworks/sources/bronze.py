@@ -104,10 +104,32 @@ def read_bronze(spark: SparkSession, path: str, since: date | None = None) -> Da
     return in_range(spark.read.parquet(path), start=since)
 
 
+def undated(spark: SparkSession, out: str) -> DataFrame | None:
+    """Rows that came without a date, set aside by ``land``; None if there were none yet."""
+    try:
+        return spark.read.parquet(f"{out.rstrip('/')}-undated")
+    except AnalysisException:
+        return None
+
+
+def set_aside(spark: SparkSession, rows: DataFrame, out: str) -> None:
+    """Keep rows without a date beside the layer. They belong to no day that could be
+    missing, so a row is added only as often as it is not there yet."""
+    there = undated(spark, out)
+    fresh = rows if there is None else rows.exceptAll(there.select(*rows.columns))
+    fresh.write.mode("append").option("compression", "snappy").parquet(f"{out.rstrip('/')}-undated")
+
+
 def land(spark: SparkSession, raw: DataFrame, out: str,
          start: date | None = None, end: date | None = None) -> DataFrame:
-    """Land the days of ``raw`` inside the range that ``out`` lacks; return all of ``out``."""
-    wanted = in_range(raw.withColumn("game_date", F.to_date("game_date")), start, end)
+    """Land the days of ``raw`` inside the range that ``out`` lacks; return all of ``out``.
+
+    Rows without a date are in no partition: they are set aside (``undated``), whatever
+    the range.
+    """
+    dated = raw.withColumn("game_date", F.to_date("game_date"))
+    set_aside(spark, conform(dated.filter("game_date IS NULL")), out)
+    wanted = in_range(dated.filter("game_date IS NOT NULL"), start, end)
     fresh = new_days(wanted, landed_days(spark, out))
     conformed = conform(fresh)
     write_bronze(conformed if "pitch_id" in raw.columns else add_pitch_key(conformed), out)

@@ -1,14 +1,17 @@
 """Insight documents: reading, parsing and keyed replacement."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundworks.sources.schemas import INSIGHT_BODY, INSIGHT_FILE, INSIGHT_KEY
-from moundworks.sources.store import scratch_path, write_table
+from moundworks.sources.store import recover_path, replace_path, write_table
 
 
 def read_insights(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
-    """Insight rows from JSON lines, or from one pretty-printed JSON array."""
+    """Insight rows from JSON lines, or from one pretty-printed JSON array. An array is
+    read by one task per file: keep JSON lines for volume."""
     rows = spark.read.schema(INSIGHT_FILE).option("multiLine", json_array).json(path)
     return rows.withColumn("game_date", F.to_date("game_date"))
 
@@ -40,9 +43,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str] = INSIGHT_KEY,
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch")
 
 
-def upsert_path(spark: SparkSession, path: str, new: DataFrame) -> str:
-    """Upsert into the table at ``path``. The result goes to a new path, which is
-    returned: readers of the old one are not disturbed."""
-    target = scratch_path(spark, "insights")
-    write_table(upsert(spark.read.parquet(path), new), target)
-    return target
+def upsert_path(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Upsert into the table at ``path``. The result is written beside it and swapped in
+    when it is whole; a swap that was cut off is mended by the next call."""
+    recover_path(spark, path)
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write_table(upsert(spark.read.parquet(path), new), fresh)
+    replace_path(spark, fresh, path)

@@ -1,7 +1,9 @@
 """Where data is kept: durable intermediate tables, scratch paths, layer tables."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
-_INTERMEDIATE: list[str] = []
+#: Intermediate paths of each application, until ``release``.
+_INTERMEDIATE: dict[str, list[str]] = {}
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -38,25 +41,94 @@ def durable(df: DataFrame) -> DataFrame:
     only the columns it needs. ``release`` drops these tables again.
     """
     path = scratch_path(df.sparkSession, "table")
-    _INTERMEDIATE.append(path)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Drop the intermediate tables of this session, once no result that reads
-    them is needed any more. Returns how many there were."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    dropped = len(_INTERMEDIATE)
-    while _INTERMEDIATE:
-        path = jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return dropped
+    """Drop the intermediate tables and scratch paths of this application, once no
+    result that reads them is needed any more; ``plans.layers.forget`` also drops
+    the layers that read them. Returns how many there were."""
+    paths = _INTERMEDIATE.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        fs, path = _file_system(spark, name)
+        fs.delete(path, True)
+    return len(paths)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; never an existing one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; never an existing one. ``release`` drops it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _INTERMEDIATE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def changed(spark: SparkSession, name: str) -> tuple[int, int]:
+    """Latest change and total length of a file, or of the files of a folder."""
+    fs, path = _file_system(spark, name)
+    if not fs.exists(path):
+        return 0, 0
+    files = fs.listStatus(path)
+    return max((f.getModificationTime() for f in files), default=0), sum(f.getLen() for f in files)
+
+
+def replace_path(spark: SparkSession, fresh: str, target: str) -> None:
+    """Put the table at ``fresh`` in the place of ``target``.
+
+    The old table is moved aside first and dropped last. If the swap stops in
+    between, ``recover_path`` brings the old table back.
+    """
+    recover_path(spark, target)
+    fs, path = _file_system(spark, target)
+    _, new = _file_system(spark, fresh)
+    _, old = _file_system(spark, _aside(target))
+    if fs.exists(path) and not fs.rename(path, old):
+        raise OSError(f"could not move {target} aside")
+    if not fs.rename(new, path):
+        fs.rename(old, path)
+        raise OSError(f"could not put the new table at {target}")
+    fs.delete(old, True)
+
+
+def recover_path(spark: SparkSession, target: str) -> bool:
+    """Finish or undo a swap that was cut off; True if the old table came back."""
+    fs, path = _file_system(spark, target)
+    _, old = _file_system(spark, _aside(target))
+    if not fs.exists(old):
+        return False
+    if fs.exists(path):  # the new table was in place already
+        fs.delete(old, True)
+        return False
+    return fs.rename(old, path)
+
+
+def _aside(target: str) -> str:
+    return f"{target.rstrip('/')}.old"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may have been started in a folder
+    or on a machine where it can't be imported. Once per application."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="moundworks-zip-"), "moundworks.zip")  # the driver's own copy
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def write_table(df: DataFrame, path: str, order: list | None = None) -> None:

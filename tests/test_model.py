@@ -111,13 +111,30 @@ def test_best_round_waits_for_patience():
 
 def test_shorter_fit_is_the_longer_one_cut_off(t):
     short = model.train(t.training, {"maxIter": 3}).stages[-1]
-    assert [x.toDebugString for x in short.trees[1:]] and short.treeWeights == t.fitted.stages[-1].treeWeights[:3]
-    for a, b in zip(short.trees, t.fitted.stages[-1].trees):
+    cut = model.first_rounds(t.fitted.stages[-1], 3)
+    assert short.treeWeights == cut.treeWeights and len(cut.trees) == 3
+    for a, b in zip(short.trees, cut.trees):
         assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
 
 
+def test_registered_model_has_all_its_rounds(t):
+    trees = t.fitted.stages[-1]
+    assert model.PARAMS["maxIter"] == 400 and model.EARLY_STOP == 30
+    assert trees.getNumTrees == model.PARAMS["maxIter"]
+    assert {k: trees.getOrDefault(k) for k in ("maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode", "seed")} == {
+        k: model.PARAMS[k] for k in ("maxDepth", "stepSize", "subsamplingRate", "minInstancesPerNode", "seed")}
+    assert max(r.rounds for r in t.cv.collect()) <= 400
+
+
+def test_model_fills_with_the_exact_medians(spark, t):
+    medians = model.feature_medians(t.training).first().asDict()
+    empty = spark.createDataFrame([tuple([None] * len(FEATURES))], ", ".join(f"{c} double" for c in FEATURES))
+    filled = t.fitted.transform(empty).first()
+    assert [filled[f"{c}_f"] for c in FEATURES] == [medians[c] for c in FEATURES]
+
+
 def test_cross_validation(t):
-    got = model.cv_metrics(t.folds, {"maxIter": 3}).orderBy("fold").collect()
+    got = t.cv.orderBy("fold").collect()
     assert [r.fold for r in got] == [1, 2, 3, 4, 5]
     assert all(r.rmse >= r.mae > 0 and r.r2 <= 1 for r in got)
     assert all(a.n_train + a.n_val == b.n_train for a, b in zip(got, got[1:]))

@@ -50,6 +50,16 @@ def test_pitch_key_is_independent_of_row_order(spark):
     assert key == {(r.game_pk, r.inning): r.pitch_id for r in bronze.add_pitch_key(shuffled).collect()}
 
 
+def test_undated_rows_are_set_aside_and_none_is_lost(spark, tmp_path):
+    out = f"{tmp_path}/bronze"
+    dated, later = raw(spark, [0]), raw(spark, [1])
+    lost = dated.withColumn("game_date", F.lit(None).cast(dated.schema["game_date"].dataType))
+    for batch in (dated.union(lost), lost, later.union(lost.union(lost))):
+        bronze.land(spark, batch, out)
+    assert bronze.read_bronze(spark, out).count() == dated.count() + later.count()
+    assert bronze.undated(spark, out).count() == 2 * lost.count()
+
+
 def test_exact_copies(spark):
     df = bronze.conform(raw(spark, [0]))
     assert bronze.add_pitch_key(df.unionByName(df)).select("pitch_id").distinct().count() == 6
@@ -102,9 +112,21 @@ def test_upsert_replaces_by_key(spark):
     assert {r.pitcher_id: r.insight_json for r in insights.upsert(old, new).collect()} == want
     path = store.scratch_path(spark, "insights")
     store.write_table(old, path)
-    target = insights.upsert_path(spark, path, new)
-    assert {r.pitcher_id: r.insight_json for r in spark.read.parquet(target).collect()} == want
-    assert spark.read.parquet(path).count() == 2
+    insights.upsert_path(spark, path, new)
+    assert {r.pitcher_id: r.insight_json for r in spark.read.parquet(path).collect()} == want
+    assert not store.recover_path(spark, path)
+
+
+def test_a_swap_cut_off_in_between_is_undone(spark):
+    path = store.scratch_path(spark, "swap")
+    store.write_table(spark.range(3), path)
+    fs, where = store._file_system(spark, path)
+    fs.rename(where, store._file_system(spark, store._aside(path))[1])
+    assert store.recover_path(spark, path) and spark.read.parquet(path).count() == 3
+    fresh = store.scratch_path(spark, "fresh")
+    store.write_table(spark.range(7), fresh)
+    store.replace_path(spark, fresh, path)
+    assert spark.read.parquet(path).count() == 7
 
 
 def test_view_and_table(spark):
@@ -113,14 +135,14 @@ def test_view_and_table(spark):
     assert spark.sql("SELECT count(*) AS n FROM some_batch").first().n == 3
 
 
-def test_release_drops_only_intermediate_tables(spark, monkeypatch):
-    monkeypatch.setattr(store, "_INTERMEDIATE", [])
-    kept = store.scratch_path(spark, "kept")
+def test_release_drops_only_intermediate_tables(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "_INTERMEDIATE", {"another application": ["/not/ours"]})
+    kept = f"{tmp_path}/kept"
     store.write_table(spark.range(3), kept)
     table = store.durable(spark.range(4))
-    path = store._INTERMEDIATE[0]
+    path = store._INTERMEDIATE[spark.sparkContext.applicationId][0]
     assert table.count() == 4 and store.release(spark) == 1 and store.release(spark) == 0
-    assert spark.read.parquet(kept).count() == 3
+    assert spark.read.parquet(kept).count() == 3 and list(store._INTERMEDIATE) == ["another application"]
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
