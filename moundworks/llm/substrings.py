@@ -37,7 +37,7 @@ from moundworks.sources.store import durable
 PASSAGE_WORDS = 35
 #: Probes that a task gathers before it packs them by bucket.
 FLUSH_KEYS = 2_000_000
-#: Buckets for each shuffle partition: a group in memory is a part of a partition.
+#: Buckets of probes for each shuffle partition: a group in memory is a part of a partition.
 BUCKETS_PER_PARTITION = 4
 #: Bits of the bitmap of documents with hits (8 MB, whatever the size of the input).
 BITMAP_BITS = 1 << 26
@@ -169,11 +169,11 @@ _WINDOWS = pa.schema([
 
 
 def window_starts(lengths: np.ndarray, n_blocks: np.ndarray, blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of the windows of ``width`` words that hold a hit block, in order."""
+    """(document, start) of the windows of ``width`` words whose first whole block is hit, in order."""
     block = (width + 1) // 2
     doc = np.repeat(np.arange(len(lengths)), n_blocks)
-    start = blocks[:, None] + np.arange(block - width, 1)
-    doc = np.repeat(doc[:, None], width - block + 1, axis=1)
+    start = blocks[:, None] + np.arange(1 - block, 1)
+    doc = np.repeat(doc[:, None], block, axis=1)
     inside = (start >= 0) & (start <= lengths[doc] - width)
     return doc[inside], start[inside]
 
@@ -296,13 +296,12 @@ def kept_words(text: str | None, spans: np.ndarray) -> tuple[int, int, str]:
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PASSAGE_WORDS) -> tuple[DataFrame, np.ndarray]:
     """Spans of repeated passages per document with any, by row key, and the bitmap of those documents."""
-    spark = docs.sparkSession
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(text, *row_keys(key, text))
-    hits = durable(anchor_hits(keyed, text, width, buckets))
+    hits = durable(anchor_hits(keyed, text, width, BUCKETS_PER_PARTITION * partitions))
     listed = hits.groupBy("_row", "_check").agg(F.sort_array(F.collect_set("at")).alias("hits"))
     candidates = only_rows(keyed, row_bitmap(hits))
-    spans = durable(repeated_spans(candidates.join(listed, ["_row", "_check"]), text, width, buckets))
+    spans = durable(repeated_spans(candidates.join(listed, ["_row", "_check"]), text, width, partitions))
     return spans, row_bitmap(spans)
 
 
