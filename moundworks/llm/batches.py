@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 #: Bytes of text that one numpy step holds at once. A longer text is one step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

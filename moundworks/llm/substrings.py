@@ -36,7 +36,7 @@ from moundworks.sources.store import durable
 #: Words of a passage that must not repeat.
 PASSAGE_WORDS = 35
 #: Probes that a task gathers before it packs them by bucket.
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 #: Buckets of probes for each shuffle partition: a group in memory is a part of a partition.
 BUCKETS_PER_PARTITION = 4
 #: Bits of the bitmap of documents with hits (8 MB, whatever the size of the input).
