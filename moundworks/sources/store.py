@@ -120,7 +120,7 @@ def ship_package(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="moundworks-zip-"), "moundworks.zip")  # the driver's own copy
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="moundworks-zip-")), "moundworks.zip")  # the driver's own copy
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
