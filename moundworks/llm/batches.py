@@ -7,12 +7,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from moundworks.sources.store import ship_package
+
 #: Bytes of text that one numpy step holds at once. A longer text is one step of its own.
 STEP_BYTES = 1 << 20
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

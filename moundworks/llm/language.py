@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from moundworks.llm.batches import map_batches, text_steps
 from moundworks.llm.rows import numbered_columns
+from moundworks.sources.store import ship_package
 
 #: Cells per n-gram length, lengths, and languages that a model may have.
 CELLS, ORDERS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 256
@@ -112,6 +113,7 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", cells
     Each task adds up its batches in one dense table per language and sends the cells
     that occur; sums by cell and language are all that reaches the driver.
     """
+    ship_package(labelled.sparkSession)
     width = cells * len(ORDERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

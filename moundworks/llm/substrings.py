@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from moundworks.llm.batches import map_batches, records, text_steps, texts
 from moundworks.llm.rows import numbered_columns, row_keys
 from moundworks.llm.words import split, window_keys, window_rows
-from moundworks.sources.store import durable
+from moundworks.sources.store import durable, ship_package
 
 #: Words of a passage that must not repeat.
 PASSAGE_WORDS = 35
@@ -296,6 +296,7 @@ def kept_words(text: str | None, spans: np.ndarray) -> tuple[int, int, str]:
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PASSAGE_WORDS) -> tuple[DataFrame, np.ndarray]:
     """Spans of repeated passages per document with any, by row key, and the bitmap of those documents."""
+    ship_package(docs.sparkSession)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(text, *row_keys(key, text))
     hits = durable(anchor_hits(keyed, text, width, BUCKETS_PER_PARTITION * partitions))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import text_steps
-from moundworks.sources.store import durable, scratch_path
+from moundworks.sources.store import durable, scratch_path, ship_package
 
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT_BYTES = 100
@@ -196,6 +196,7 @@ def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url",
     Every input row is a record; an empty table gives no rows. Other columns, whatever
     they are called, are not read.
     """
+    ship_package(pages.sparkSession)
     folder = scratch_path(pages.sparkSession, "warc")
     index = write_archives(with_first_seen(pages, key, url, html), folder)
     found = read_records(index, folder)
