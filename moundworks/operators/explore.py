@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks import constants as K
+from moundworks import templates as words
 from moundworks.functions import rules
 from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled
 from moundworks.operators.ordering import bounded_index, join_null_safe
@@ -71,10 +72,10 @@ def with_insight(summary: DataFrame, insights: DataFrame) -> DataFrame:
     return joined.select(
         *summary.columns,
         F.coalesce(F.get_json_object(text, "$.headline"), F.when(
-            text.isNull(), F.lit("Insight generation pending.")), F.lit("No headline generated.")).alias("headline"),
+            text.isNull(), F.lit(words.PENDING_HEADLINE)), F.lit(words.NO_HEADLINE)).alias("headline"),
         F.coalesce(F.get_json_object(text, "$.key_finding"), F.when(
-            text.isNull(), F.lit("Run enrichment pipeline to generate AI narrative.")),
-            F.lit("Insight not available.")).alias("key_finding"),
+            text.isNull(), F.lit(words.PENDING_FINDING)),
+            F.lit(words.NO_FINDING)).alias("key_finding"),
         F.get_json_object(text, "$.concern_flag").alias("concern_flag"),
         F.get_json_object(text, "$.pitch_mix_note").alias("pitch_mix_note"),
     )
@@ -346,16 +347,12 @@ def display_leaderboard(board: DataFrame) -> DataFrame:
 
 def display_matrix(matrix: DataFrame) -> DataFrame:
     """Season matrix with display headings; absent cells become a dash."""
-    shown = {
-        "CSW%": ("csw_rate", rules.pct), "Whiff%": ("whiff_rate", rules.pct),
-        "Velo": ("avg_velo", lambda c: rules.fixed(c, 1)),
-        "Barrel%": ("barrel_rate_allowed", rules.pct),
-        "xwOBA": ("avg_xwoba_allowed", lambda c: rules.fixed(c, 3)),
-        "RE Delta": ("total_re_delta", lambda c: rules.signed(c, 3)),
+    formats = {
+        "Velo": lambda c: rules.fixed(c, 1), "xwOBA": lambda c: rules.fixed(c, 3), "RE Delta": lambda c: rules.signed(c, 3),
     }
     return matrix.select(
         "pitcher_id", F.col("stat").alias("Stat"),
-        *[rules.or_dash(fmt(F.col(c)), F.col(c)).alias(h) for h, (c, fmt) in shown.items()],
+        *[rules.or_dash(formats.get(h, rules.pct)(F.col(c)), F.col(c)).alias(h) for h, c in words.MATRIX_HEADINGS.items()],
     )
 
 

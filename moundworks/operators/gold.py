@@ -9,7 +9,7 @@ reaches the second step as one row per pitch type and task.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moundworks.constants import BATTER_KEY, GAME_KEY
+from moundworks.constants import BATTER_KEY, FASTBALLS, GAME_KEY
 from moundworks.functions import rules
 from moundworks.functions.numeric import ratio, rnd, sql_ratio, sql_rnd, sql_sample_std
 from moundworks.operators.rolling import with_context
@@ -35,7 +35,7 @@ def _flags(swing: str) -> dict[str, str]:
         "outside": rules.OUT_OF_ZONE,
         "chased": f"{rules.OUT_OF_ZONE} AND {swing}",
         "barrels": "is_barrel",
-        "fastballs": "pitch_type IN ('FF', 'SI')",
+        "fastballs": f"pitch_type IN ({', '.join(repr(t) for t in FASTBALLS)})",
         "leveraged": LEVERAGED,
         "leveraged_csw": f"{LEVERAGED} AND {rules.CALLED_OR_MISSED}",
     }

@@ -17,7 +17,9 @@ def outside(name: str, low: float, high: float) -> Column:
     return ~F.col(name).between(low, high)
 
 
-def dq_report(summary: DataFrame, batters: DataFrame, insights: DataFrame) -> DataFrame:
+def dq_report(summary: DataFrame, batters: DataFrame, insights: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """Violations of each check. ``landed`` are the rows before deduplication: those
+    without an id count, as deduplication keeps one of them."""
     drift = F.abs(F.col("avg_velo") - F.col("rolling_30d_avg_velo") - F.col("velo_vs_30d_avg"))
     pitcher_checks = {
         "csw_rate_bounds": outside("csw_rate", 0, 1),
@@ -37,11 +39,14 @@ def dq_report(summary: DataFrame, batters: DataFrame, insights: DataFrame) -> Da
         "insight_tier_known": ~F.coalesce(
             F.get_json_object("insight_json", "$.performance_tier").isin(TIERS), F.lit(False)),
     }
-    return (
+    report = (
         _counted(summary, pitcher_checks)
         .unionByName(_counted(batters, batter_checks))
         .unionByName(_counted(insights, insight_checks))
     )
+    if landed is None:
+        return report
+    return report.unionByName(_counted(landed, {"pitch_id_present": F.col("pitch_id").isNull()}))
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:

@@ -744,6 +744,7 @@ def checked(name: str, cond: str, table: str) -> str:
 
 _KNOWN_TIERS = ", ".join(f"'{t}'" for t in K.TIERS)
 oracle("dq_report", ["gold", "batters", "insights"], " UNION ALL ".join([
+    checked("pitch_id_present", "l_orderkey IS NULL OR l_linenumber IS NULL", "lineitem"),
     checked("csw_rate_bounds", "csw_rate NOT BETWEEN 0 AND 1", "gold"),
     checked("whiff_rate_bounds", "whiff_rate NOT BETWEEN 0 AND 1", "gold"),
     checked("performance_tier_known", f"COALESCE(performance_tier NOT IN ({_KNOWN_TIERS}), TRUE)", "gold"),

@@ -575,7 +575,7 @@ def report_json(t):
 
 @query
 def dq_report(t):
-    return quality.dq_report(t.summary, t.batters, enrich.insight_rows(t.narratives, FIRST_RUN))
+    return quality.dq_report(t.summary, t.batters, enrich.insight_rows(t.narratives, FIRST_RUN), t.bronze)
 
 
 # --- data dictionary extras --------------------------------------------------

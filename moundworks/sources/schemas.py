@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# --- fixed values: names and types of the feed and of the stored layers -------
 # feed column -> type. These are the columns kept from a raw extract.
 FEED_COLUMNS = [
     ("game_pk", "int"), ("game_date", "date"), ("inning", "int"), ("inning_topbot", "string"),
@@ -59,3 +60,4 @@ INSIGHT_FILE = T.StructType([
 ])
 
 INSIGHT_KEY = ["pitcher_id", "game_pk", "insight_type"]
+# ------------------------------------------------------------------------------

@@ -134,5 +134,14 @@ NARRATIVES = [
      "6 starts. Opposing hitters squared up fastballs repeatedly, suggesting tipping or mechanical inconsistency.",
      "Immediate mechanics review recommended — possible fatigue or injury signal."),
 ]
+PENDING_HEADLINE = "Insight generation pending."
+PENDING_FINDING = "Run enrichment pipeline to generate AI narrative."
+NO_HEADLINE = "No headline generated."
+NO_FINDING = "Insight not available."
+# stat of the season matrix -> column
+MATRIX_HEADINGS = {
+    "CSW%": "csw_rate", "Whiff%": "whiff_rate", "Velo": "avg_velo", "Barrel%": "barrel_rate_allowed",
+    "xwOBA": "avg_xwoba_allowed", "RE Delta": "total_re_delta",
+}
 MIX_NOTE = "Fastball-heavy mix (est. ~%s%%) with %s as primary off-speed."
 # --- end of fixed values ----------------------------------------------------
