@@ -316,16 +316,13 @@ def only_rows(keyed: DataFrame, bitmap: np.ndarray, inside: bool = True) -> Data
     return map_batches(keyed, step, keyed.schema)
 
 
-def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PASSAGE_WORDS) -> list[DataFrame]:
-    """``docs`` in two parts, each with a column _spans: documents with repeats, and those without (null).
-
-    Only the first part is shuffled.
-    """
+def with_spans(docs: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Documents that may have repeats, with a column _spans (null if they have none);
+    all documents with their _row; and the bitmap of the former. Only they are shuffled."""
     spans, bitmap = passages(docs, key, text, width)
     keyed = docs.select("*", *row_keys(key, text))
     found = only_rows(keyed, bitmap).join(spans.withColumnRenamed("spans", "_spans"), ["_row", "_check"], "left")
-    rest = only_rows(keyed, bitmap, inside=False).withColumn("_spans", F.lit(None).cast("binary"))
-    return [x.drop("_row", "_check") for x in (found, rest)]
+    return found.drop("_row", "_check"), keyed.drop("_check"), bitmap
 
 
 def _spans_of(part: pa.RecordBatch) -> list[np.ndarray]:
@@ -345,15 +342,25 @@ def removed_words(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     id_type = docs.schema[key].dataType.simpleString()
 
-    def step(batch: pa.RecordBatch):
+    found, every, bitmap = with_spans(docs.select(key, text), key, text, width)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def measured(part: pa.RecordBatch, spans: list[np.ndarray]) -> pa.RecordBatch:
+        digest = records(schema, **{f.name: c for f, c in zip(schema, zip(*map(kept_words, texts(part, text), spans)))})
+        return pa.RecordBatch.from_arrays([part.column(key), *digest.columns], names=[key, *schema.names])
+
+    def cut(batch: pa.RecordBatch):
+        for part in text_steps(batch, text):
+            yield measured(part, _spans_of(part))
+
+    def whole(batch: pa.RecordBatch):
         for part in text_steps(batch, text):
-            found = [kept_words(t, s) for t, s in zip(texts(part, text), _spans_of(part))]
-            digest = records(schema, **{f.name: c for f, c in zip(schema, zip(*found))})
-            yield pa.RecordBatch.from_arrays([part.column(key), *digest.columns], names=[key, *schema.names])
+            part = part.filter(pa.array(~in_bitmap(shared.value, part.column("_row").to_numpy())))
+            if part.num_rows:
+                yield measured(part, [np.zeros((0, 2), dtype=np.int32)] * part.num_rows)
 
     out = f"`{key}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string"
-    found, rest = (map_batches(x.select(key, text, "_spans"), step, out) for x in with_spans(docs.select(key, text), key, text, width))
-    return found.unionByName(rest)
+    return map_batches(found.select(key, text, "_spans"), cut, out).unionByName(map_batches(every.select(key, text, "_row"), whole, out))
 
 
 def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PASSAGE_WORDS) -> DataFrame:
@@ -365,7 +372,8 @@ def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     plain, name = numbered_columns(docs)
     column, columns = name[text], plain.columns
-    found, rest = with_spans(plain, name[key], column, width)
+    found, every, bitmap = with_spans(plain, name[key], column, width)
+    rest = only_rows(every, bitmap, inside=False)
 
     def step(batch: pa.RecordBatch):
         for part in text_steps(batch, column):
