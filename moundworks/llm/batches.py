@@ -1,5 +1,7 @@
 """Small helpers for Arrow batches inside tasks."""
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,13 +20,23 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[pa.Reco
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from step(batch)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from step(batch)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_steps(batch: pa.RecordBatch, column: str, max_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into zero-copy slices of about ``max_bytes`` of text each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)

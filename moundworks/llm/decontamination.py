@@ -20,7 +20,6 @@ small. A prefix that a third of all documents hold is a key of one or few item r
 whose large side AQE splits.
 """
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

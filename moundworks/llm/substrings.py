@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moundworks.llm.batches import map_batches, records, text_steps, texts
+from moundworks.llm.batches import give_back, map_batches, records, text_steps, texts
 from moundworks.llm.rows import numbered_columns, row_keys
 from moundworks.llm.words import split, window_keys, window_rows
 from moundworks.sources.store import durable, ship_package
@@ -142,6 +142,8 @@ def anchor_hits(docs: DataFrame, text: str, width: int, buckets: int) -> DataFra
                     parts, gathered = [], 0
         if parts:
             yield from _anchor_rows(parts, buckets)
+        parts.clear()
+        give_back()
 
     def settle(table: pa.Table) -> pa.Table:
         probes = np.sort(joined(table.column("probes"), np.uint32))
@@ -184,6 +186,7 @@ def repeated_spans(docs: DataFrame, text: str, width: int, buckets: int) -> Data
     ``docs`` has _row, _check, the text and ``hits``, the sorted positions of its hit blocks.
     """
     def extend(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()  # what the group before left
         chunk = key[0].as_py()
         table = table.sort_by([("_row", "ascending"), ("_check", "ascending")]).combine_chunks()
         rows, checks = (table.column(c).to_numpy() for c in ("_row", "_check"))
