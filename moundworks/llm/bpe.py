@@ -12,6 +12,7 @@ Pieces repeat, so each worker keeps the tokens of short pieces; the memory is bo
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -21,12 +22,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from moundworks.llm.batches import map_batches, text_steps, texts
+from moundworks.llm.batches import give_back, text_steps, texts
+from moundworks.sources.store import ship_package
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces a worker remembers, and the longest piece worth it.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -117,6 +119,10 @@ class Tokenizer:
         strings = self.strings
         return b"".join([strings[i] for i in ids]).decode("utf-8", errors="replace")
 
+    def forget(self) -> None:
+        """Give back the memory of the pieces; workers outlive their tasks."""
+        self._known.clear()
+
 
 _LOADED: dict[str, Tokenizer] = {}
 
@@ -148,8 +154,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
         T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids),
     ])
 
-    def step(batch: pa.RecordBatch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shipped(name)
+        try:
+            for batch in batches:
+                yield from encoded(bpe, batch)
+        finally:
+            bpe.forget()
+            give_back()
+
+    def encoded(bpe: Tokenizer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_steps(batch, text):
             counts, id_digests, text_digests, all_ids = [], [], [], []
             for t in texts(part, text):
@@ -166,4 +180,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
                 columns.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return map_batches(docs.select(*dict.fromkeys([key, *carry, text])), step, out)
+    ship_package(docs.sparkSession)
+    return docs.select(*dict.fromkeys([key, *carry, text])).mapInArrow(run, out)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.llm.batches import map_batches, text_steps
+from moundworks.llm.batches import give_back, map_batches, text_steps
 from moundworks.llm.rows import numbered_columns
 from moundworks.sources.store import ship_package
 
@@ -25,6 +25,8 @@ from moundworks.sources.store import ship_package
 CELLS, ORDERS, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 256
 #: n-grams whose evidence the score may use in full; more of them are averaged down to so many.
 EVIDENCE = 60
+#: Bytes of text per numpy step: each character becomes three cells and a row of the matrix for each.
+STEP_BYTES = 1 << 18
 UNKNOWN = "und"
 #: Score from which a document's language counts as known.
 MIN_SCORE = 0.5
@@ -97,7 +99,8 @@ class LanguageModel:
         sums = np.zeros((len(n), len(self.languages)))
         full = n > 0
         if full.any():
-            sums[full] = np.add.reduceat(self.logs[found.cells], found.first[:-1][full], axis=0, dtype=np.float64)
+            for k in range(len(self.languages)):
+                sums[full, k] = np.add.reduceat(self.logs[found.cells, k].astype(np.float64), found.first[:-1][full])
         mean = sums / np.maximum(n, 1)[:, None]
         evidence = mean * np.minimum(n, EVIDENCE)[:, None]
         share = np.exp(evidence - evidence.max(axis=1, keepdims=True))
@@ -119,13 +122,14 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", cells
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in text_steps(batch, text):
+            for part in text_steps(batch, text, STEP_BYTES):
                 found = grams(part.column(text), cells)
                 names = part.column(language).to_pylist()
                 own = np.repeat(np.array([sorted(set(names)).index(x) for x in names]), np.diff(found.first))
                 for i, name in enumerate(sorted(set(names))):
                     here = np.bincount(found.cells[own == i], minlength=width)
                     total[name] = total[name] + here if name in total else here
+        give_back()
         for name, table in total.items():
             cell = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: t
     out = T.StructType([*docs.select(*columns).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def step(batch: pa.RecordBatch):
-        for part in text_steps(batch, text):
+        for part in text_steps(batch, text, STEP_BYTES):
             if shared.value.languages:
                 found, score = shared.value.predict(part.column(text))
             else:
