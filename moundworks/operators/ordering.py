@@ -1,8 +1,8 @@
 """Row positions and trailing row frames, one plan for each.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. That is right
-only where nature bounds a key, as a game is bounded (``bounded_index``). Where a
-key can hold any share of the table (a pitcher, a shard, the table itself), the
+only where nature bounds a key, as the pitchers of a game are (``bounded_index``). Where
+a key can hold any share of the table (a pitcher, a raw game, a shard, the table), the
 other operators cut it into range slices and blocks, at every size, so no task ever
 holds more than a slice or a block.
 """
@@ -33,7 +33,7 @@ def _order(cols: list[str | Column]) -> list[Column]:
 
 
 def bounded_index(df: DataFrame, order: list[str | Column], group: list[str], out: str = "row_idx") -> DataFrame:
-    """Zero-based position in a group whose size nature bounds, such as a game."""
+    """Zero-based position in a group whose size nature bounds, such as the pitchers of a game."""
     w = Window.partitionBy(*group).orderBy(*_order(order))
     return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
 

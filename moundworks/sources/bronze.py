@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.operators.ordering import bounded_index
+from moundworks.operators.ordering import ordered_index
 from moundworks.sources.schemas import FEED_COLUMNS, RENAMES
 
 
@@ -50,7 +50,7 @@ def add_pitch_key(df: DataFrame, drop_exact_duplicates: bool = False) -> DataFra
     if drop_exact_duplicates:
         rows = rows.distinct()
     order = [c for c in rows.columns if c not in ("game_pk", "game_date")]
-    placed = bounded_index(rows, order, ["game_pk", "game_date"], "_pos")
+    placed = ordered_index(rows, order, ["game_pk", "game_date"], "_pos")
     key = F.concat_ws("_", F.col("game_pk").cast("string"), F.col("game_date").cast("string"),
                       F.col("_pos").cast("string"))
     return placed.withColumn("pitch_id", key).drop("_pos")

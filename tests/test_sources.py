@@ -181,3 +181,12 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         store.shared_dir(Session())
+
+
+def test_a_large_game_is_cut_into_slices(spark):
+    """Positions of a game that holds all rows: no window takes a whole game, and nothing is lost."""
+    rows = spark.range(3000).selectExpr("7 AS game_pk", "CAST(NULL AS DATE) AS game_date", "CAST(id % 1000 AS INT) AS inning")
+    keyed = bronze.add_pitch_key(rows)
+    assert "_slice" in keyed._jdf.queryExecution().toString()
+    found = sorted((int(r.pitch_id.split("_")[-1]), r.inning) for r in keyed.collect())
+    assert [p for p, _ in found] == list(range(3000)) and [i for _, i in found] == sorted(i for _, i in found)
