@@ -4,6 +4,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,13 +51,31 @@ def release(spark: SparkSession) -> int:
     """Drop the intermediate tables and scratch paths of this application, once no
     result that reads them is needed any more; ``plans.layers.forget`` also drops
     the layers that read them. Returns how many there were."""
-    paths = _INTERMEDIATE.pop(spark.sparkContext.applicationId, [])
+    return drop_paths(spark, _INTERMEDIATE.pop(spark.sparkContext.applicationId, []))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete intermediate tables and scratch paths; returns how many there were."""
+    known = _INTERMEDIATE.get(spark.sparkContext.applicationId, [])
     for name in paths:
         fs, path = _file_system(spark, name)
         fs.delete(path, True)
+        if name in known:
+            known.remove(name)
     return len(paths)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the names of the intermediate tables and scratch paths made in the block.
+    Pass them to ``drop_paths`` once nothing reads them any more, as the output that
+    was computed from them is written."""
+    app = spark.sparkContext.applicationId
+    before, made = set(_INTERMEDIATE.get(app, [])), []
+    yield made
+    made += [name for name in _INTERMEDIATE.get(app, []) if name not in before]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never an existing one. ``release`` drops it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -190,3 +190,13 @@ def test_a_large_game_is_cut_into_slices(spark):
     assert "_slice" in keyed._jdf.queryExecution().toString()
     found = sorted((int(r.pitch_id.split("_")[-1]), r.inning) for r in keyed.collect())
     assert [p for p, _ in found] == list(range(3000)) and [i for _, i in found] == sorted(i for _, i in found)
+
+
+def test_intermediates_of_a_block_are_named_and_dropped(spark, tmp_path):
+    outside = store.durable(spark.range(3))
+    with store.intermediates(spark) as made:
+        inside = store.durable(spark.range(5))
+    assert [f"file:{p}".replace("file:file:", "file:") for p in made] == [inside.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "file:")]
+    assert store.drop_paths(spark, made) == 1
+    assert outside.count() == 3 and not store._file_system(spark, made[0])[0].exists(store._file_system(spark, made[0])[1])
+    assert store.drop_paths(spark, made) == 1  # dropping again does no harm
