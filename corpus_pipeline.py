@@ -1,7 +1,7 @@
 """From raw documents to token ids, in stages that are written and read again.
 
-Language ID keeps documents in a known language, near-dedup one of each group of near
-copies, substring dedup cuts passages that occur more than once, decontamination
+Language ID keeps documents in a known language, near-dedup one of each group of
+documents with near fingerprints, substring dedup cuts passages that occur more than once, decontamination
 drops documents with benchmark passages, and encoding turns what is left into tokens.
 A stage works on all that the one before it kept.
 """
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from moundworks.llm import bpe, decontamination, language, simhash_similar, substrings
-from moundworks.sources.store import durable
+from moundworks.llm import bpe, decontamination, language, simhash, substrings
+from moundworks.sources.store import drop_paths, durable, intermediates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,9 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that
-    with the smallest id."""
-    return simhash_similar.one_of_each(docs)
+    """One document of each group that fingerprints within two bits connect, that with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written and read again."""
+    """All stages over the documents; each but the last is written and read again, and then
+    what it wrote on the way, and its input if a stage wrote that, is dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *first, (_, last) = STAGES
+    spent: list[str] = []
     for _, stage in first:
-        docs = durable(stage(spark, docs, sf_dir))
+        with intermediates(spark) as made:
+            found = stage(spark, docs, sf_dir)
+        with intermediates(spark) as kept:
+            docs = durable(found)
+        drop_paths(spark, spent + made)
+        spent = kept
     return last(spark, docs, sf_dir)
