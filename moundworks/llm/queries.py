@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from moundworks.llm import bpe, decontamination, language, licences, quality, sharding, simhash, substrings, toxicity, warc
+from moundworks.llm import bpe, decontamination, extraction, language, licences, merkle, quality, resampling, sharding, simhash, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op5_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
@@ -115,3 +130,82 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND low <> page_id THEN low END AS refers_to
 FROM s"""
+
+#: CRC-32 of the UTF-8 bytes of text ``x``, bit by bit: each byte is mixed in, then eight steps follow.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(0, strlen({x})),
+    lambda i: [CAST('0x' || substr(hex({x}), CAST(2 * i + 1 AS INT), 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, leaf, now, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_LEAF.format("text")} AS leaf,
+               CASE WHEN {CRC32.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS now
+        FROM documents)),
+grown AS (
+  SELECT source, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM grown WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+subroots AS (
+  SELECT source, lvl AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM grown WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, pos // 3, n),
+below AS (
+  SELECT source, lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM grown WHERE n > 1 GROUP BY ALL),
+beside AS (
+  SELECT lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT doc_id, leaf, now, lvl, pos // CAST(pow(3, lvl) AS BIGINT) % 3 AS i, hs
+  FROM leaves JOIN below ON leaves.source IS NOT DISTINCT FROM below.source AND run = pos // CAST(pow(3, lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT doc_id, leaf, now, height + lvl, s.pos // CAST(pow(3, lvl) AS BIGINT) % 3, hs
+  FROM leaves JOIN subroots s ON leaves.source IS NOT DISTINCT FROM s.source JOIN beside ON run = s.pos // CAST(pow(3, lvl + 1) AS BIGINT)),
+paths AS (
+  SELECT doc_id, leaf, now, lvl, array_to_string(hs[1:i], '') AS l, array_to_string(hs[i + 2:], '') AS r FROM steps),
+folded AS (
+  SELECT doc_id, leaf, now AS h, 0 AS lvl FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.leaf, sha256(l || h || r), f.lvl + 1 FROM folded f JOIN paths p ON f.doc_id = p.doc_id AND f.leaf = p.leaf AND f.lvl = p.lvl),
+ended AS (SELECT doc_id, leaf, max_by(h, lvl) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT doc_id, leaf, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof_sha256 FROM paths GROUP BY ALL)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM leaves JOIN subroots s ON leaves.source IS NOT DISTINCT FROM s.source JOIN (SELECT h FROM top WHERE n = 1) t ON true
+JOIN ended USING (doc_id, leaf) LEFT JOIN proofs USING (doc_id, leaf)"""
+
+ORACLES["op13_importance_resampling"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x
+  FROM benchmark),
+dw AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+bw AS (SELECT x, count(*) AS n FROM b GROUP BY x),
+cells AS (SELECT x, {CRC32.format(x="x")} % 10000 AS c FROM (SELECT DISTINCT x FROM (SELECT x FROM dw UNION ALL SELECT x FROM bw))),
+raw AS (SELECT c, sum(n) AS s FROM dw JOIN cells USING (x) GROUP BY c),
+aim AS (SELECT c, sum(n) AS t FROM bw JOIN cells USING (x) GROUP BY c),
+gain AS (
+  SELECT c, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM raw) + 10000) AS DOUBLE)
+                                 / CAST((s + 1) * ((SELECT coalesce(sum(t), 0) FROM aim) + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM raw LEFT JOIN aim USING (c)),
+weights AS (SELECT doc_id, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM dw JOIN cells USING (x) JOIN gain USING (c) GROUP BY doc_id),
+scores AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scores LEFT JOIN drawn USING (doc_id)"""
+
+#: For pages whose article is one well-formed element of headings and paragraphs, as all given ones are.
+ORACLES["op12_html_extraction"] = r"""
+WITH parts AS (
+  SELECT page_id, url, generate_subscripts(p, 1) AS i, unnest(p) AS x
+  FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS p FROM pages)),
+texts AS (
+  SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+         '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS x FROM parts),
+joined AS (SELECT page_id, url, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (x <> ''), '') AS text FROM texts GROUP BY ALL)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM joined"""
