@@ -93,7 +93,7 @@ def main() -> None:
     stored = insights_of(t)
     for name, run in {
         "train_full_fit": lambda: model.train(t.training),
-        "cv_one_fold": lambda: noop(model.fold_predictions(t.folds.filter("val_fold < 5"), t.folds.filter("val_fold = 5"))[0]),
+        "cv_one_fold": lambda: model.fold_metrics(t.folds.filter("val_fold < 5"), t.folds.filter("val_fold = 5")),
         "attributions": lambda: noop(attribution.attributions(fitted, rows)),
         "scouting_report": lambda: noop(report.scouting_report(rows, stored, fitted)),
     }.items():

@@ -3,8 +3,10 @@
 Shapley values of a tree under its training weights (Lundberg et al.): a leaf
 with path features F is worth ``value`` times, per feature, either "does the row
 pass the path's tests" (feature known) or "share of training weight that does"
-(feature unknown). The Shapley value of that product game is a sum over subset
-sizes, which the tasks compute for a batch of rows and all leaves at once.
+(feature unknown). A path of depth d tests at most d features, so a row meets a
+leaf in one of at most 2^d patterns. The contributions of each pattern are computed once
+for each leaf, as a sum over subset sizes; the tasks then find a row's pattern for all
+leaves at once and look its contributions up.
 """
 
 from collections.abc import Iterator
@@ -68,8 +70,35 @@ def leaf_paths(nodes: list) -> list[tuple[float, dict[int, list[float]]]]:
     return leaves
 
 
+def _worth(share: np.ndarray) -> np.ndarray:
+    """Contribution of each path feature per unit of leaf value, for every pattern of passed tests.
+
+    ``share`` is (leaves, m); the result (leaves, 2^m, m). Bit j of a pattern says
+    whether the row passes the tests on feature j. What a feature adds, over all
+    orders in which features become known, is a sum over the sizes of the subsets
+    known before it.
+    """
+    m = share.shape[1]
+    passes = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
+    out = np.empty((len(share), 1 << m, m))
+    for i in range(m):
+        sizes = [np.ones((len(share), 1 << m))]  # entry s: sum over the subsets of s other features
+        for j in range(m):
+            if j == i:
+                continue
+            grown = [np.zeros_like(sizes[0]) for _ in range(len(sizes) + 1)]
+            for s, c in enumerate(sizes):
+                grown[s] += c * share[:, None, j]
+                grown[s + 1] += c * passes[:, j]
+            sizes = grown
+        weighted = sum(factorial(s) * factorial(m - s - 1) / factorial(m) * c for s, c in enumerate(sizes))
+        out[:, :, i] = weighted * (passes[:, i] - share[:, None, i])
+    return out
+
+
 def _packed(leaves: list) -> list[tuple]:
-    """Leaves with equally many path features, as arrays."""
+    """Leaves with equally many path features: their features, bounds, and a table of what
+    each pattern of passed tests contributes. A path of depth d has at most 2^d patterns."""
     groups: dict[int, list] = {}
     for value, path in leaves:
         groups.setdefault(len(path), []).append((value, path))
@@ -80,7 +109,7 @@ def _packed(leaves: list) -> list[tuple]:
         values = np.array([v for v, _ in members])
         feats = np.array([list(p) for _, p in members])
         low, high, share = (np.array([[p[f][k] for f in p] for _, p in members]) for k in range(3))
-        packed.append((values, feats, low, high, share))
+        packed.append((feats, low, high, values[:, None, None] * _worth(share)))
     return packed
 
 
@@ -90,29 +119,21 @@ def base_value(leaves: list) -> float:
 
 
 def shapley(x: np.ndarray, packed: list[tuple], width: int) -> np.ndarray:
-    """Contributions of each feature for the rows of ``x``."""
+    """Contributions of each feature for the rows of ``x``: a lookup by leaf and pattern."""
     out = np.zeros((len(x), width))
-    for values, feats, low, high, share in packed:
-        m = feats.shape[1]
-        seen = x[:, feats]
-        passes = ((seen > low) & (seen <= high)).astype(float)
-        onehot = np.zeros((feats.size, width))
-        onehot[np.arange(feats.size), feats.ravel()] = 1.0
-        part = np.empty(passes.shape)
-        for i in range(m):
-            # coefficient s: subsets of the other features with s members
-            coef = [np.ones(passes.shape[:2])]
-            for j in range(m):
-                if j == i:
-                    continue
-                grown = [np.zeros(passes.shape[:2]) for _ in range(len(coef) + 1)]
-                for s, c in enumerate(coef):
-                    grown[s] += c * share[:, j]
-                    grown[s + 1] += c * passes[:, :, j]
-                coef = grown
-            weighted = sum(factorial(s) * factorial(m - s - 1) / factorial(m) * c for s, c in enumerate(coef))
-            part[:, :, i] = values * weighted * (passes[:, :, i] - share[:, i])
-        out += part.reshape(len(x), -1) @ onehot
+    for feats, low, high, table in packed:
+        leaves, patterns, m = table.shape
+        pattern = np.zeros((len(x), leaves), dtype=np.int64)
+        for j in range(m):
+            seen = x[:, feats[:, j]]
+            pattern |= ((seen > low[:, j]) & (seen <= high[:, j])).astype(np.int64) << j
+        pattern += np.arange(leaves) * patterns
+        rows = table.reshape(-1, m)
+        for j in range(m):
+            part = rows[:, j][pattern]
+            onehot = np.zeros((leaves, width))
+            onehot[np.arange(leaves), feats[:, j]] = 1.0
+            out += part @ onehot
     return out
 
 

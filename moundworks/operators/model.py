@@ -1,8 +1,11 @@
 """Boosted-tree model of a pitcher's CSW rate on Spark ML."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from moundworks.constants import FEATURES, GAME_KEY, TARGET
 from moundworks.functions import rules
 from moundworks.functions.numeric import rnd
 from moundworks.operators.ordering import BLOCK_ROWS, ordered_index, trailing_frame
-from moundworks.sources.store import durable, shared_dir
+from moundworks.sources.store import durable
 
 # --- fixed values: settings of the boosted trees ------------------------------
 PARAMS = {
@@ -104,9 +107,8 @@ def _prepare(rows: DataFrame) -> PipelineModel:
 
 
 def _trees(params: dict) -> GBTRegressor:
-    # boosting adds to the lineage every round; with a shared folder set, Spark
-    # cuts it every ``checkpointInterval`` rounds
-    shared_dir(SparkSession.active())
+    # boosting adds to the lineage every round; with a shared folder set, as ``durable``
+    # has done for the vectors, Spark cuts it every ``checkpointInterval`` rounds
     return GBTRegressor(featuresCol="features", labelCol=TARGET, predictionCol="prediction", **params)
 
 
@@ -124,17 +126,6 @@ def train(rows: DataFrame, params: dict | None = None) -> PipelineModel:
     return PipelineModel([*prepared.stages, trees])
 
 
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model of the first ``rounds`` trees. They do not depend on how many follow."""
-    jvm, gateway = SparkSession.active().sparkContext._jvm, SparkSession.active().sparkContext._gateway
-    java = model._java_obj
-    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(jvm.double, rounds)
-    for k, (tree, weight) in enumerate(zip(java.trees()[:rounds], java.treeWeights()[:rounds])):
-        trees[k], weights[k] = tree, weight
-    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, trees, weights))
-
-
 def best_round(errors: list[float], patience: int) -> int:
     """Rounds to keep: those up to the lowest error that ``patience`` further
     rounds did not beat."""
@@ -147,48 +138,47 @@ def best_round(errors: list[float], patience: int) -> int:
     return best + 1
 
 
-def fold_predictions(training: DataFrame, validation: DataFrame, params: dict = PARAMS,
-                     patience: int = EARLY_STOP) -> tuple[DataFrame, int]:
-    """Predict the validation rows with as many rounds as they justify.
+def fold_metrics(training: DataFrame, validation: DataFrame, params: dict = PARAMS, patience: int = EARLY_STOP) -> dict:
+    """rmse, mae, r2 and rounds of a fit that stops early on the validation rows.
 
-    Early stopping needs the errors of ``patience`` rounds past the best one, so
-    rounds are fitted in growing portions until those are there or ``maxIter`` is
-    reached; the model kept is the last one cut off after its best round.
+    The errors of all rounds come from one fit: its first k trees are the model of k
+    rounds, and Spark evaluates each. Stopping needs ``patience`` rounds past the best
+    one. A first portion of three times that mostly has them; only if it does not is
+    twice as much fitted, up to ``maxIter``. No validation row leaves the executors.
     """
     prepared = _prepare(training)
     x, x_val = _vectors(prepared, training), _vectors(prepared, validation)
-    fitted = 0
+    fitted = min(params["maxIter"], 3 * patience)
     while True:
-        fitted = min(params["maxIter"], max(2 * fitted, 2 * patience))
         model = _trees({**params, "maxIter": fitted}).fit(x)
-        rounds = best_round(model.evaluateEachIteration(x_val, params["lossType"]), patience)
+        squared = model.evaluateEachIteration(x_val, "squared")
+        rounds = best_round(squared, patience)
         if rounds + patience <= fitted or fitted == params["maxIter"]:
-            return first_rounds(model, rounds).transform(x_val), rounds
+            break
+        fitted = min(params["maxIter"], 2 * fitted)
+    spread = x_val.agg(F.var_pop(TARGET)).first()[0]
+    mse, mae = squared[rounds - 1], model.evaluateEachIteration(x_val, "absolute")[rounds - 1]
+    return {"rmse": mse**0.5, "mae": mae, "r2": 1 - mse / spread if spread else None, "rounds": rounds}
 
 
 def cv_metrics(folds: DataFrame, params: dict | None = None, patience: int = EARLY_STOP) -> DataFrame:
-    """RMSE, MAE and R2 of each expanding fold; one distributed fit per fold.
+    """RMSE, MAE and R2 of each expanding fold; a distributed fit for each.
 
-    ``folds`` should be a stored table: every fold reads it.
+    The folds are fitted side by side: a fit is a long row of short jobs, which
+    leave most of a cluster idle one by one. ``folds`` should be a stored table, as
+    every fold reads it.
     """
     settings = {**PARAMS, **(params or {})}
-    scored, rounds = None, []
-    for fold in range(1, FOLDS + 1):
-        predicted, kept = fold_predictions(
-            folds.filter(F.col("val_fold") < fold), folds.filter(F.col("val_fold") == fold), settings, patience
-        )
-        rounds.append((fold, kept))
-        part = predicted.select(F.lit(fold).alias("fold"), F.col(TARGET).alias("y"), "prediction")
-        scored = part if scored is None else scored.unionByName(part)
-    e = F.col("prediction") - F.col("y")
-    y = F.col("y")
-    quality = scored.groupBy("fold").agg(
-        rnd(F.sqrt(F.avg(e * e)), 5).alias("rmse"),
-        rnd(F.avg(F.abs(e)), 5).alias("mae"),
-        rnd(1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0)), 4).alias("r2"),
-    )
-    kept_rounds = folds.sparkSession.createDataFrame(rounds, "fold int, rounds int")
-    return fold_ranges(folds).join(quality, "fold").join(F.broadcast(kept_rounds), "fold")
+
+    def measured(fold: int) -> tuple:
+        m = fold_metrics(folds.filter(F.col("val_fold") < fold), folds.filter(F.col("val_fold") == fold), settings, patience)
+        return fold, m["rmse"], m["mae"], m["r2"], m["rounds"]
+
+    with ThreadPoolExecutor(FOLDS) as pool:
+        found = list(pool.map(inheritable_thread_target(folds.sparkSession)(measured), range(1, FOLDS + 1)))
+    metrics = folds.sparkSession.createDataFrame(found, "fold int, rmse double, mae double, r2 double, rounds int").select(
+        "fold", rnd(F.col("rmse"), 5).alias("rmse"), rnd(F.col("mae"), 5).alias("mae"), rnd(F.col("r2"), 4).alias("r2"), "rounds")
+    return fold_ranges(folds).join(F.broadcast(metrics), "fold")
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from harness import DATA
 from pyspark.sql import functions as F
 
-from moundworks.constants import FEATURES
+from moundworks.constants import FEATURES, TARGET
 from moundworks.operators import attribution, model
 from moundworks.plans.layers import layers
 from moundworks.sources import store
@@ -109,12 +109,18 @@ def test_best_round_waits_for_patience():
     assert model.best_round([1.0], 30) == 1
 
 
-def test_shorter_fit_is_the_longer_one_cut_off(t):
-    short = model.train(t.training, {"maxIter": 3}).stages[-1]
-    cut = model.first_rounds(t.fitted.stages[-1], 3)
-    assert short.treeWeights == cut.treeWeights and len(cut.trees) == 3
-    for a, b in zip(short.trees, cut.trees):
-        assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+def test_fold_metrics_are_those_of_a_fit_with_the_kept_rounds(t):
+    training, validation = t.folds.filter("val_fold < 3"), t.folds.filter("val_fold = 3")
+    for patience, settings in ((2, model.PARAMS), (30, {**model.PARAMS, "maxIter": 4})):
+        got = model.fold_metrics(training, validation, settings, patience)
+        fitted = model.train(training, {"maxIter": got["rounds"]})
+        rows = [(r.prediction, r[TARGET]) for r in fitted.transform(validation).select("prediction", TARGET).collect()]
+        error = [p - y for p, y in rows]
+        mean = sum(y for _, y in rows) / len(rows)
+        assert got["rmse"] == pytest.approx((sum(e * e for e in error) / len(rows)) ** 0.5)
+        assert got["mae"] == pytest.approx(sum(map(abs, error)) / len(rows))
+        assert got["r2"] == pytest.approx(1 - sum(e * e for e in error) / sum((y - mean) ** 2 for _, y in rows))
+        assert got["rounds"] <= settings["maxIter"]
 
 
 def test_registered_model_has_all_its_rounds(t):
