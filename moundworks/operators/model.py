@@ -13,6 +13,7 @@ from moundworks.constants import FEATURES, GAME_KEY, TARGET
 from moundworks.functions import rules
 from moundworks.functions.numeric import rnd
 from moundworks.operators.ordering import BLOCK_ROWS, ordered_index, trailing_frame
+from moundworks.operators.selection import exact_medians
 from moundworks.sources.store import durable
 
 # --- fixed values: settings of the boosted trees ------------------------------
@@ -47,10 +48,10 @@ def training_rows(summary: DataFrame, lagged: bool = False, stored: bool = False
 
 
 def feature_medians(rows: DataFrame) -> DataFrame:
-    """Exact median of each feature. The exact aggregate keeps distinct values
-    with their counts; all features are rounded columns, so these are few
-    (a rate has at most 10,001) and are merged map-side."""
-    return rows.agg(*[rnd(F.median(c), 6).alias(c) for c in FEATURES])
+    """Exact median of each feature, in one row; see ``selection`` for its bounded aggregates."""
+    medians = exact_medians(rows, FEATURES)
+    one = rows.sparkSession.createDataFrame([tuple(medians[c] for c in FEATURES)], ", ".join(f"{c} double" for c in FEATURES))
+    return one.select(*[rnd(F.col(c), 6).alias(c) for c in FEATURES])
 
 
 def feature_matrix(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ class Layers:
     def silver(self) -> DataFrame:
         return durable(self.pitches)
 
+    @property
+    def typed(self) -> DataFrame:
+        """``silver`` for a single reader: the stored table if some query has written
+        it, else the plan from the raw files, of which only the reader's columns are made."""
+        return self.__dict__.get("silver", self.pitches)
+
     @cached_property
     def players(self) -> DataFrame:
         return durable(silver.players(self.silver))
@@ -43,12 +49,12 @@ class Layers:
     @cached_property
     def game_base(self) -> DataFrame:
         """Game metrics of each pitcher, before windows and names."""
-        return durable(gold.pitcher_game_base(self.silver))
+        return durable(gold.pitcher_game_base(self.typed))
 
     @cached_property
     def summary(self) -> DataFrame:
         """Pitcher-game summary with side and player name."""
-        base = durable(gold.pitcher_game_base(self.silver, extras=True))
+        base = gold.pitcher_game_base(self.silver, extras=True)
         return durable(explore.with_player(gold.summary_of(base), silver.players(self.silver)))
 
     @cached_property

@@ -59,12 +59,12 @@ def pitches_clean(t):
 
 @query
 def games(t):
-    return silver.games(t.silver)
+    return silver.games(t.typed)
 
 
 @query
 def players(t):
-    return silver.players(t.silver)
+    return silver.players(t.typed)
 
 
 @query
@@ -100,22 +100,22 @@ def pitcher_game_summary(t):
 
 @query
 def pitcher_game_all_swings(t):
-    return gold.pitcher_game_base(t.silver, swing=rules.SWING_ALL)
+    return gold.pitcher_game_base(t.typed, swing=rules.SWING_ALL)
 
 
 @query
 def pitcher_game_fanout(t):
-    return gold.pitcher_game_fanout(t.silver)
+    return gold.pitcher_game_fanout(t.typed)
 
 
 @query
 def batter_game_summary(t):
-    return gold.batter_game_summary(t.silver)
+    return gold.batter_game_summary(t.typed)
 
 
 @query
 def pitch_mix(t):
-    return gold.pitch_mix(t.silver)
+    return gold.pitch_mix(t.typed)
 
 
 @query
@@ -161,7 +161,7 @@ def latest_row(t):
 
 @query
 def home_away(t):
-    return gold.pitcher_game_base(t.silver, extras=True).select(*GAME_KEY, "home_away", "team", "opponent")
+    return gold.pitcher_game_base(t.typed, extras=True).select(*GAME_KEY, "home_away", "team", "opponent")
 
 
 # --- joins and filters -------------------------------------------------------
@@ -618,7 +618,7 @@ def team_trends(t):
 
 @query
 def at_bats(t):
-    return extras.at_bats(t.silver)
+    return extras.at_bats(t.typed)
 
 
 @query
@@ -628,9 +628,9 @@ def pitch_mix_text(t):
 
 @query
 def contact_by_type(t):
-    return extras.contact_by_type(t.silver)
+    return extras.contact_by_type(t.typed)
 
 
 @query
 def whiff_by_zone(t):
-    return extras.whiff_by_zone(t.silver)
+    return extras.whiff_by_zone(t.typed)
