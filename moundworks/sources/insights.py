@@ -1,12 +1,10 @@
 """Insight documents: reading, parsing and keyed replacement."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moundworks.sources import versions
 from moundworks.sources.schemas import INSIGHT_BODY, INSIGHT_FILE, INSIGHT_KEY
-from moundworks.sources.store import recover_path, replace_path, write_table
 
 
 def read_insights(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
@@ -43,10 +41,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str] = INSIGHT_KEY,
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch")
 
 
+def create_table(insights: DataFrame, path: str, buckets: int = versions.BUCKETS) -> None:
+    """Make ``insights`` the keyed table at ``path``."""
+    versions.replace(insights, path, INSIGHT_KEY, buckets)
+
+
 def upsert_path(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Upsert into the table at ``path``. The result is written beside it and swapped in
-    when it is whole; a swap that was cut off is mended by the next call."""
-    recover_path(spark, path)
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    write_table(upsert(spark.read.parquet(path), new), fresh)
-    replace_path(spark, fresh, path)
+    """Upsert into the keyed table at ``path``: the buckets of the new rows are written again, the
+    others stay, and one commit makes it visible. A call that was cut off leaves the old rows."""
+    versions.upsert(new, path, upsert)

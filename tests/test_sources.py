@@ -5,7 +5,7 @@ import pytest
 from frames import by, day
 from pyspark.sql import functions as F
 
-from moundworks.sources import bronze, insights, store
+from moundworks.sources import bronze, insights, store, versions
 
 
 def raw(spark, days, per_day=3):
@@ -111,10 +111,9 @@ def test_upsert_replaces_by_key(spark):
     want = {1: "new", 2: "keep", 3: "later"}
     assert {r.pitcher_id: r.insight_json for r in insights.upsert(old, new).collect()} == want
     path = store.scratch_path(spark, "insights")
-    store.write_table(old, path)
+    insights.create_table(old, path)
     insights.upsert_path(spark, path, new)
-    assert {r.pitcher_id: r.insight_json for r in spark.read.parquet(path).collect()} == want
-    assert not store.recover_path(spark, path)
+    assert {r.pitcher_id: r.insight_json for r in versions.read(spark, path).collect()} == want
 
 
 def test_a_swap_cut_off_in_between_is_undone(spark):
