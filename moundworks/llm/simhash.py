@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from moundworks.llm.batches import map_batches, text_steps, texts
 from moundworks.llm.rows import numbered_columns, row_keys
-from moundworks.sources.store import durable
+from moundworks.sources.store import drop_paths, durable, intermediates
 
 BITS = 64
 SHINGLE_WORDS, RADIUS = 3, 2
@@ -38,6 +38,8 @@ GROUP_ROWS = 20_000
 SMALL_GROUP = 24
 #: Groups are gathered in so many buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
+#: Pairs of a file that a round of label passing writes.
+ROWS_PER_FILE = 500_000
 
 _LANES = np.array([int.from_bytes(bytes((v >> b) & 1 for b in range(8)), "little") for v in range(256)], dtype=np.uint64)
 
@@ -182,27 +184,43 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, group_row
     )
 
 
+def _seal(pairs: DataFrame) -> tuple:
+    """Number of pairs and two digests of them that do not depend on their order."""
+    h = F.xxhash64("a", "b")
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node of the component of every node with an edge (a, b).
 
     Large-star and small-star rounds: every node's neighbours are hooked to the
     smallest one, which halves distances; nothing is collected and a node of many
-    edges only meets min aggregates. Each round is written, which cuts the lineage.
+    edges only meets min aggregates. Each round is written, which cuts the lineage,
+    in as many files as its rows ask for, and the round before it is dropped. Rounds
+    end when count and digests of the pairs stay as they were.
     """
+    spark = edges.sparkSession
+    spent: list[str] = []
     pairs = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _seal(pairs)
     while True:
+        files = -(-before[0] // ROWS_PER_FILE) or 1  # a round never has more pairs than the one before it
         both = pairs.union(pairs.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = durable(large.distinct())
+        with intermediates(spark) as stars:
+            large = durable(large.distinct().coalesce(files))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         hooked = small.select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        after = durable(hooked.filter("a <> b").distinct())
-        changed = after.exceptAll(pairs).limit(1).count() + pairs.exceptAll(after).limit(1).count()
-        pairs = after
-        if not changed:
+        with intermediates(spark) as written:
+            pairs = durable(hooked.filter("a <> b").distinct().coalesce(files))
+        drop_paths(spark, spent + stars)
+        spent = written
+        after = _seal(pairs)
+        if after == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = after
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS,
