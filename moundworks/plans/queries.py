@@ -13,7 +13,7 @@ from moundworks.operators import (
 )
 from moundworks.operators.ordering import join_null_safe
 from moundworks.plans.layers import Layers, layers
-from moundworks.sources import bronze, insights, store
+from moundworks.sources import bronze, insights, store, versions
 from moundworks.sources.schemas import PITCH_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def bronze_ingest(t):
 @query
 def incremental_days(t):
     out = store.scratch_path(t.spark, "bronze")
-    bronze.write_bronze(bronze.in_range(t.bronze, end=MIDSEASON), out)
+    bronze.land(t.spark, t.raw, out, end=MIDSEASON)
     return bronze.new_days(t.bronze, bronze.landed_days(t.spark, out)).select(*PITCH_NAMES)
 
 
@@ -419,9 +419,9 @@ def parse_response(t):
 def insight_upsert(t):
     latest = rolling.latest_row(t.narratives, "pitcher_id").withColumn("concern_flag", F.lit("Reviewed."))
     path = store.scratch_path(t.spark, "insights")
-    store.write_table(enrich.insight_rows(t.narratives, FIRST_RUN), path)
+    insights.create_table(enrich.insight_rows(t.narratives, FIRST_RUN), path)
     insights.upsert_path(t.spark, path, enrich.insight_rows(latest, SECOND_RUN))
-    return store.read_table(t.spark, path)
+    return versions.read(t.spark, path)
 
 
 @query

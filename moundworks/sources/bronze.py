@@ -1,14 +1,15 @@
 """Landing of raw extracts as date-partitioned Parquet."""
 
+import uuid
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from moundworks.operators.ordering import ordered_index
 from moundworks.sources.schemas import FEED_COLUMNS, RENAMES
+from moundworks.sources.store import durable
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -66,15 +67,58 @@ def in_range(df: DataFrame, start: date | None = None, end: date | None = None,
     return df
 
 
-def landed_days(spark: SparkSession, path: str) -> DataFrame:
-    """Days that already have a partition, from the directory listing alone."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listed = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/game_date=*")) or []
-    names = [s.getPath().getName().split("=", 1)[1] for s in listed]
-    days = [(date.fromisoformat(n),) for n in names if not n.startswith("__")]
-    return spark.createDataFrame(days, T.StructType([T.StructField("game_date", T.DateType())]))
+#: A commit record: a day, its rows, and the landing that brought them.
+RECORD = "game_date date, n_rows bigint, landing string"
+
+
+def _beside(out: str, name: str) -> str:
+    """A folder in the layer's own root that readers of the layer pass over."""
+    return f"{out.rstrip('/')}/_{name}"
+
+
+def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException:  # not written yet
+        return None
+
+
+def records(spark: SparkSession, out: str) -> DataFrame:
+    """The commit records of the layer: one row for each day of each landing."""
+    found = _table(spark, _beside(out, "days"), RECORD)
+    return spark.createDataFrame([], RECORD) if found is None else found
+
+
+def landed_days(spark: SparkSession, out: str) -> DataFrame:
+    """Days that were landed to the end. A folder alone is no proof of that: where files are
+    copied one by one, a landing that stopped leaves folders with a part of their rows."""
+    return records(spark, out).select("game_date").distinct()
+
+
+def commit_days(spark: SparkSession, out: str, days: DataFrame) -> None:
+    """Record the rows that each of the ``days`` (game_date, n_rows) now has. Written last,
+    in one small file, which appears as a whole."""
+    days.withColumn("landing", F.lit(uuid.uuid4().hex)).coalesce(1).write.mode("append").parquet(_beside(out, "days"))
+
+
+def damaged_days(spark: SparkSession, out: str) -> DataFrame:
+    """Recorded days whose rows are not, or not all, there any more: game_date, n_rows, n_found.
+
+    Only file footers are read. ``forget_days`` has them landed again.
+    """
+    day = Window.partitionBy("game_date").orderBy(F.desc("n_rows"))  # a day is landed once, seldom twice
+    newest = records(spark, out).withColumn("_k", F.row_number().over(day)).filter("_k = 1")
+    layer = _table(spark, out)
+    there = spark.createDataFrame([], "game_date date, n_found bigint") if layer is None else layer.groupBy("game_date").agg(F.count("*").alias("n_found"))
+    both = newest.join(there, "game_date", "left").select("game_date", "n_rows", F.coalesce("n_found", F.lit(0)).alias("n_found"))
+    return both.filter("n_found <> n_rows")
+
+
+def forget_days(spark: SparkSession, out: str, days: DataFrame) -> None:
+    """Take the records of ``days`` back, so that the next landing brings these days again."""
+    lost = F.broadcast(days.select("game_date").distinct())  # a row per calendar day
+    kept = durable(records(spark, out).join(lost, "game_date", "left_anti"))
+    kept.coalesce(1).write.mode("overwrite").parquet(_beside(out, "days"))
 
 
 def new_days(raw: DataFrame, landed: DataFrame) -> DataFrame:
@@ -106,24 +150,25 @@ def read_bronze(spark: SparkSession, path: str, since: date | None = None) -> Da
 
 def undated(spark: SparkSession, out: str) -> DataFrame | None:
     """Rows that came without a date, set aside by ``land``; None if there were none yet."""
-    try:
-        return spark.read.parquet(f"{out.rstrip('/')}-undated")
-    except AnalysisException:
-        return None
+    return _table(spark, _beside(out, "undated"))
 
 
 def set_aside(spark: SparkSession, rows: DataFrame, out: str) -> None:
-    """Keep rows without a date beside the layer. They belong to no day that could be
-    missing, so a row is added only as often as it is not there yet."""
+    """Keep rows without a date inside the layer's folder. They belong to no day that could
+    be missing, so a row is added only as often as it is not there yet, and a call that
+    stopped half-way is completed by the next one. Without such rows nothing is written."""
     there = undated(spark, out)
     fresh = rows if there is None else rows.exceptAll(there.select(*rows.columns))
-    fresh.write.mode("append").option("compression", "snappy").parquet(f"{out.rstrip('/')}-undated")
+    if fresh.limit(1).count():
+        fresh.write.mode("append").option("compression", "snappy").parquet(_beside(out, "undated"))
 
 
 def land(spark: SparkSession, raw: DataFrame, out: str,
          start: date | None = None, end: date | None = None) -> DataFrame:
     """Land the days of ``raw`` inside the range that ``out`` lacks; return all of ``out``.
 
+    A day counts as landed once its commit record is there, which is written after its
+    rows; a landing that stopped before is done again, and overwrites what it left.
     Rows without a date are in no partition: they are set aside (``undated``), whatever
     the range.
     """
@@ -133,7 +178,9 @@ def land(spark: SparkSession, raw: DataFrame, out: str,
     fresh = new_days(wanted, landed_days(spark, out))
     conformed = conform(fresh)
     write_bronze(conformed if "pitch_id" in raw.columns else add_pitch_key(conformed), out)
-    try:
-        return read_bronze(spark, out)
-    except AnalysisException:  # nothing was landed: an empty layer has no files
+    layer = _table(spark, out)
+    if layer is None:  # nothing was landed: an empty layer has no files
         return conformed.limit(0)
+    days = F.broadcast(durable(fresh.select("game_date").distinct()))  # a row per calendar day
+    commit_days(spark, out, layer.join(days, "game_date", "left_semi").groupBy("game_date").agg(F.count("*").alias("n_rows")))
+    return layer

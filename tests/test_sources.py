@@ -60,6 +60,53 @@ def test_undated_rows_are_set_aside_and_none_is_lost(spark, tmp_path):
     assert bronze.undated(spark, out).count() == 2 * lost.count()
 
 
+def folders(path):
+    import os
+    return sorted(n for n in os.listdir(path) if n[0] not in "_.")
+
+
+def test_a_landing_that_stopped_is_done_again(spark, tmp_path, monkeypatch):
+    out, lost = f"{tmp_path}/bronze", raw(spark, [0], per_day=2).withColumn("game_date", F.lit(None).cast("string"))
+    bronze.land(spark, raw(spark, [0]), out)
+    whole = raw(spark, [0, 1, 2], per_day=5).unionByName(lost)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(bronze, "commit_days", stop)
+    with pytest.raises(KeyboardInterrupt):
+        bronze.land(spark, whole, out)
+    monkeypatch.undo()
+    half = spark.read.parquet(f"{out}/game_date={day(2)}").limit(1).persist()
+    assert half.count() == 1
+    half.write.mode("overwrite").parquet(f"{out}/game_date={day(2)}")  # as if only a part had been copied
+    assert len(folders(out)) == 3 and {r.game_date for r in bronze.landed_days(spark, out).collect()} == {day(0)}
+    got = bronze.land(spark, whole, out)
+    counts = {r.game_date: r["count"] for r in got.groupBy("game_date").count().collect()}
+    assert counts == {day(0): 3, day(1): 5, day(2): 5}
+    assert bronze.undated(spark, out).count() == 2
+    assert bronze.damaged_days(spark, out).count() == 0
+
+
+def test_days_that_lost_rows_are_found_and_landed_again(spark, tmp_path):
+    out = f"{tmp_path}/bronze"
+    bronze.land(spark, raw(spark, [0, 1, 2]), out)
+    spark.createDataFrame([], "inning int").write.mode("overwrite").parquet(f"{out}/game_date={day(1)}")
+    damaged = bronze.damaged_days(spark, out)
+    assert [(r.game_date, r.n_rows, r.n_found) for r in damaged.collect()] == [(day(1), 3, 0)]
+    bronze.forget_days(spark, out, damaged)
+    bronze.land(spark, raw(spark, [0, 1, 2], per_day=4), out)
+    counts = {r.game_date: r["count"] for r in bronze.read_bronze(spark, out).groupBy("game_date").count().collect()}
+    assert counts == {day(0): 3, day(1): 4, day(2): 3} and bronze.damaged_days(spark, out).count() == 0
+
+
+def test_landing_leaves_nothing_outside_its_folder(spark, tmp_path):
+    out = f"{tmp_path}/bronze"
+    bronze.land(spark, raw(spark, [0]), out)
+    import os
+    assert os.listdir(tmp_path) == ["bronze"] and bronze.undated(spark, out) is None
+
+
 def test_exact_copies(spark):
     df = bronze.conform(raw(spark, [0]))
     assert bronze.add_pitch_key(df.unionByName(df)).select("pitch_id").distinct().count() == 6
