@@ -6,56 +6,62 @@ from pyspark.sql import functions as F
 from moundworks.sources.schemas import PITCH_COLUMNS
 
 
-#: Bits of the map of repeated ids (8 MB, whatever the size of the input).
-MAP_BITS = 1 << 26
+#: Bits of the map of repeated ids (half a MB, whatever the size of the input).
+MAP_BITS = 1 << 22
 
 
 def repeated_ids(ids: DataFrame, key: str, bits: int = MAP_BITS) -> DataFrame:
-    """(word, set): a bitmap of fixed size over a hash of ``key``, with the bits of keys that occur twice or more.
+    """A bitmap of fixed size over a hash of ``key``, in one row: an array of bits / 64 words
+    with the bits of the keys that occur twice or more.
 
     Only hashes travel: they are counted in full, and those found more than once set
     their bit. Null is a key like any other.
     """
     again = ids.select(F.xxhash64(key).alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1")
     slot = F.pmod("_hash", F.lit(bits))
-    return again.groupBy(F.shiftright(slot, 6).alias("_word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("_set"))
+    set_ = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_set"))
+    words = again.select(F.shiftright(slot, 6).alias("_word"), set_.alias("_set")).union(every).groupBy("_word").agg(F.bit_or("_set").alias("_set"))
+    ordered = F.sort_array(F.collect_list(F.struct("_word", "_set")))
+    return words.agg(F.transform(ordered, lambda w: w["_set"]).alias("_map"))
 
 
-def clean_pitches(bronze: DataFrame, loaded_at: bool = False, bits: int = MAP_BITS) -> DataFrame:
+def clean_pitches(bronze: DataFrame, loaded_at: bool = False, few_repeats: bool = False, bits: int = MAP_BITS) -> DataFrame:
     """One typed row per ``pitch_id``.
 
-    A first pass over the ids alone finds those that occur more than once. All
-    other rows stay where they are: they are neither sorted nor shuffled, and a
-    reader of a few columns reads a few columns of them. Only rows whose id may be
-    repeated are compared. The map of repeated ids has a fixed size and is
-    broadcast; when ids outnumber its bits, more rows are compared, to the same result.
-
     Which copy of an id stays is decided by all columns, so the result does not
-    depend on file order: the smallest row in column order, by date first. The
-    aggregate drops the losing copies in the map tasks already, so an id with very
-    many copies sends one row per task through the shuffle. The input is read once
-    for each of the three parts and should be a table, or a plan that gives equal
-    rows each time.
+    depend on file order. ``row_number() = 1`` lets Spark drop the losing copies
+    in the map tasks already (WindowGroupLimit), so an id with very many copies
+    sends one row per task through the shuffle.
+
+    With ``few_repeats`` a first pass over the ids alone finds those that occur more
+    than once, and only rows whose id may be repeated are compared. All others are
+    neither sorted nor shuffled, and a reader of a few columns reads a few columns of
+    them. The input is then read three times and should be a table. It pays where
+    repeats are rare and the shuffle is the bottleneck; the rows are the same. The map
+    of repeated ids has a fixed size: when ids outnumber its bits, more are compared.
     """
     present = set(bronze.columns)
     typed = bronze.selectExpr(*[
         f"CAST({c if c in present else 'NULL'} AS {t}) AS {c}" for c, t in PITCH_COLUMNS
     ])
-    slot = F.pmod(F.xxhash64("pitch_id"), F.lit(bits))
-    marked = F.broadcast(repeated_ids(typed.select("pitch_id"), "pitch_id", bits))
-    found = typed.withColumn("_word", F.shiftright(slot, 6)).join(marked, "_word", "left").drop("_word")
-    # 1 where the bit is set; no word, no repeated id
-    bit = F.call_function("shiftright", "_set", slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    set_ = F.coalesce(bit == 1, F.lit(False))
-    single = found.filter(~set_).drop("_set")
-    order = ["game_date", *[c for c, _ in PITCH_COLUMNS if c not in ("pitch_id", "game_date")]]
-    first = found.filter(set_).groupBy("pitch_id").agg(F.min(F.struct(*order)).alias("_row"))
-    kept = first.select(*[F.col("pitch_id") if c == "pitch_id" else F.col(f"_row.{c}") for c, _ in PITCH_COLUMNS])
-    clean = single.unionByName(kept)
+    if few_repeats:
+        slot = F.pmod(F.xxhash64("pitch_id"), F.lit(bits))
+        word = F.get(repeated_ids(typed.select("pitch_id"), "pitch_id", bits).scalar(), F.shiftright(slot, 6).cast("int"))
+        repeated = F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        clean = typed.filter(~repeated).unionByName(_first_of_each(typed.filter(repeated)))
+    else:
+        clean = _first_of_each(typed)
     return clean.withColumn("loaded_at", F.current_timestamp()) if loaded_at else clean
 
 
+def _first_of_each(typed: DataFrame) -> DataFrame:
+    """The smallest row of each ``pitch_id``, by date and then the other columns."""
+    rest = ", ".join(c for c, _ in PITCH_COLUMNS if c not in ("pitch_id", "game_date"))
+    place = f"row_number() OVER (PARTITION BY pitch_id ORDER BY game_date, {rest})"
+    return typed.selectExpr("*", f"{place} AS _rn").filter("_rn = 1").drop("_rn")
+
+
 def games(pitches: DataFrame) -> DataFrame:
     return pitches.groupBy("game_pk", "game_date", "home_team", "away_team").agg(
         F.max("post_home_score").alias("home_score"),
