@@ -1,18 +1,13 @@
 """Prompts, narratives and insight rows built from the summaries."""
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from moundworks import templates as text
 from moundworks.constants import FASTBALLS, GAME_KEY, OFFSPEED_WORDS
 from moundworks.functions import rules
 from moundworks.functions.numeric import ratio
 from moundworks.operators.ordering import join_null_safe
-from moundworks.sources.store import ship_package
 
 
 def zero(name: str) -> Column:
@@ -182,37 +177,6 @@ def insight_rows(narratives: DataFrame, generated_at: str | None = None,
     )
 
 
-def generate(prompts: DataFrame, writer: Callable[[pd.Series], pd.Series] | None = None, prompt: str = "prompt",
-             out: str = "response", default: str = "template") -> DataFrame:
-    """Slot for a text generator: ``writer`` gets a batch of prompts and returns one text
-    each. It runs inside the tasks, one Arrow batch at a time.
-
-    A batch that fails is tried again row by row; a row that still fails has a null
-    text and the message in ``{out}_error``. Without a writer the text is the column
-    ``default``, such as a template narrative as JSON.
-    """
-    if writer is None:
-        return prompts.withColumns({out: F.col(default), f"{out}_error": F.lit(None).cast("string")})
-    ship_package(prompts.sparkSession)
-    schema = T.StructType([*prompts.schema.fields, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
-
-    def one(text: str) -> tuple[str | None, str | None]:
-        try:
-            return writer(pd.Series([text])).iloc[0], None
-        except Exception as e:  # noqa: BLE001  whatever the writer raises becomes the row's error
-            return None, f"{type(e).__name__}: {e}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                yield batch.assign(**{out: writer(batch[prompt]), f"{out}_error": None})
-            except Exception:  # noqa: BLE001
-                texts, errors = zip(*map(one, batch[prompt]))
-                yield batch.assign(**{out: list(texts), f"{out}_error": list(errors)})
-
-    return prompts.mapInPandas(run, schema)
-
-
 def narrative_json(narratives: DataFrame) -> DataFrame:
     """The narrative of each game as one JSON text, the default of ``generate``."""
     fields = ["headline", "key_finding", "concern_flag", "pitch_mix_note"]

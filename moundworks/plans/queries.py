@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from moundworks.constants import BATTER_KEY, GAME_KEY, TARGET
 from moundworks.functions import rules
 from moundworks.operators import (
-    anomaly, attribution, enrich, explore, extras, gold, model, quality, report, rolling, silver,
+    anomaly, attribution, enrich, explore, extras, generation, gold, model, quality, report, rolling, silver,
 )
 from moundworks.operators.ordering import join_null_safe
 from moundworks.plans.layers import Layers, layers
@@ -381,7 +381,8 @@ def generate_text(t):
         who = prompts.str.extract(r"Pitcher: ([^\n]*)", expand=False)
         return '{"headline": "Report on ' + who + '"}'
 
-    answers = enrich.generate(enrich.live_prompt(t.summary), writer).drop("prompt")
+    kept = store.scratch_path(t.spark, "answers")
+    answers = generation.generate_once(enrich.live_prompt(t.summary), writer, kept).drop("prompt")
     return insights.parse_response(answers).select(*GAME_KEY, "headline", "error")
 
 

@@ -88,6 +88,21 @@ def _file_system(spark: SparkSession, name: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def qualified(spark: SparkSession, name: str) -> str:
+    """The path with its scheme. A path without one means the default file system, as in
+    Spark's own readers and writers, not the disk of whoever opens it."""
+    fs, path = _file_system(spark, name)
+    return fs.makeQualified(path).toString()
+
+
+def open_folder(path: str):
+    """(file system, path in it) of a ``qualified`` path, for reading and writing inside tasks."""
+    from pyarrow.fs import FileSystem
+    if ":/" not in path:
+        raise ValueError(f"{path} has no scheme; pass it through qualified() on the driver")
+    return FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
+
+
 def changed(spark: SparkSession, name: str) -> tuple[int, int]:
     """Latest change and total length of a file, or of the files of a folder."""
     fs, path = _file_system(spark, name)

@@ -11,13 +11,13 @@ import sys
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 sys.path.insert(0, sys.argv[1])
-from moundworks.operators import enrich
+from moundworks.operators import generation
 df = spark.createDataFrame([(1, "a")], "n int, prompt string")
 from moundworks.functions import rules
 def writer(prompts):
     from moundworks.constants import TIERS  # imported in the worker
     return prompts.str.upper() + str(len(TIERS))
-print("GOT", enrich.generate(df, writer).first().response)
+print("GOT", generation.generate(df, writer).first().response)
 """
 
 

@@ -47,29 +47,6 @@ def test_anomaly_prompt_lists_in_order(spark):
     assert "- Pat #5: whiff_rate 55.0% (30d avg: 25.0%, velo delta: -1.2 mph)\n- Pat #4:" in r.prompt
 
 
-def test_generator_slot(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, prompt string")
-    got = enrich.generate(df, lambda prompts: prompts.str.upper())
-    assert sorted(r.response for r in got.collect()) == ["A", "B"]
-
-
-def test_failing_rows_become_error_rows(spark):
-    def writer(prompts):
-        if (prompts == "b").any():
-            raise ValueError("no text for b")
-        return prompts.str.upper()
-
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "n int, prompt string").coalesce(1)
-    got = by(enrich.generate(df, writer), "n")
-    assert [got[n].response for n in (1, 2, 3)] == ["A", None, "C"]
-    assert got[2].response_error == "ValueError: no text for b" and got[1].response_error is None
-
-
-def test_default_writer_is_the_template(spark):
-    df = spark.createDataFrame([(1, "a", '{"headline": "h"}')], "n int, prompt string, template string")
-    assert enrich.generate(df).first().response == '{"headline": "h"}'
-
-
 def test_insight_lookup_with_default(spark):
     rows = spark.createDataFrame([(1, day(0)), (2, day(0))], "pitcher_id int, game_date date")
     stored = spark.createDataFrame(
