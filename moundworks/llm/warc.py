@@ -17,14 +17,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import text_steps
-from moundworks.sources.store import durable, scratch_path, ship_package
+from moundworks.sources.store import durable, open_folder, qualified, scratch_path, ship_package
 
 #: Payloads of fewer bytes are always stored in full.
 MIN_REVISIT_BYTES = 100
@@ -40,23 +40,28 @@ _INDEX = pa.schema([
 _PAGES = ["page_id", "url", "html", "digest", "bytes", "refers_to"]
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+def urn(page_id: str | None) -> str:
+    """A page's id as a header value, whatever is in it; a null id and an empty one differ."""
+    return "<urn:nopage>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
 
 
-def record(page_id: str, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
+def id_of(value: str | None) -> str | None:
+    return None if value is None or value == "<urn:nopage>" else unquote(value[len("<urn:page:"):-1])
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit has the digest and size of the full payload, and no body."""
     body = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {url}"] if url is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
         "Content-Type: text/html; charset=utf-8",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        *([f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
           if refers_to is not None else []),
         f"Content-Length: {len(body)}",
     ]
@@ -77,8 +82,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _quoted(column: str) -> Column:
-    """Header values hold no line breaks."""
-    return F.regexp_replace(F.col(column), "[\\r\\n]", " ")
+    """Header values hold no line breaks: in a URL they are written as URLs write them."""
+    return F.replace(F.replace(F.col(column), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
 def with_first_seen(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -118,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                                 out.close()
                             name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                             out = store.open_output_stream(f"{root}/{name}", compression=None)
-                        page_id = "" if page["page_id"] is None else str(page["page_id"])
+                        page_id = None if page["page_id"] is None else str(page["page_id"])
                         refers = None if page["refers_to"] is None else str(page["refers_to"])
                         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                         member = packer.compress(record(page_id, page["url"], page["html"], page["digest"], page["bytes"], refers)) + packer.flush()
@@ -175,8 +180,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                                 raise ValueError(f"{file} at {offset}: the payload does not match its digest")
                             refers = fields.get("WARC-Refers-To")
                             rows.append((
-                                fields["WARC-Record-ID"][len("<urn:page:"):-1], fields.get("WARC-Target-URI"), fields["WARC-Type"],
-                                refers and refers[len("<urn:page:"):-1], digest, int(fields["WARC-Payload-Length"]), body,
+                                id_of(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"],
+                                id_of(refers), digest, int(fields["WARC-Payload-Length"]), body,
                             ))
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), out_schema)], schema=out_schema)
 
@@ -192,16 +197,17 @@ def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url",
     (empty for a revisit). Of equal payloads of at least MIN_REVISIT_BYTES bytes, the
     smallest key's is the response and the others revisit it; rows that repeat the
     smallest key are responses too. A null html is an empty payload; a null key is
-    never referred to, and is written as an empty id; a null URL gives no URI header.
+    never referred to; a null URL gives no URI header. Ids may be of any type and hold
+    anything, as they are percent-encoded. Long payloads are written and read whole.
     Every input row is a record; an empty table gives no rows. Other columns, whatever
     they are called, are not read.
     """
     ship_package(pages.sparkSession)
-    folder = scratch_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
     index = write_archives(with_first_seen(pages, key, url, html), folder)
     found = read_records(index, folder)
     id_type = pages.schema[key].dataType.simpleString()
     return found.select(
-        F.nullif("page_id", F.lit("")).cast(id_type).alias(key), "payload_bytes", "payload_digest", "record_type",
+        F.col("page_id").cast(id_type).alias(key), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(id_type).alias("refers_to"), "body",
     )

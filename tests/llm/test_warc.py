@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from moundworks.llm import warc
@@ -35,3 +36,23 @@ def test_ranges_join_over_small_gaps():
     assert warc.coalesced(ranges, max_gap=25, max_read=100) == [[(0, 10), (10, 5), (40, 5)], [(1000, 5), (1005, 20)]]
     assert warc.coalesced(ranges, max_gap=5, max_read=12) == [[(0, 10)], [(10, 5)], [(40, 5)], [(1000, 5)], [(1005, 20)]]
     assert warc.coalesced([]) == []
+
+
+def test_ids_of_any_content(spark):
+    ids = ["", None, "a\r\nb", "a b", "<urn:page:x>", "é%41", "\n", "x: y", "z" * 300]
+    same = "s" * 200
+    pages = spark.createDataFrame([(k, "http://h/\r\nX: 1", f"<p>{k}</p>") for k in ids] + [(f"{k}'", None, same) for k in ids if k is not None], "page_id string, url string, html string")
+    found = warc.archive_round_trip(pages).collect()
+    assert sorted(map(repr, (r.page_id for r in found))) == sorted(map(repr, (r.page_id for r in pages.collect())))
+    first = min(f"{k}'" for k in ids if k is not None)
+    again = [r for r in found if r.payload_bytes == 200]
+    assert {r.page_id: r.refers_to for r in again} == {f"{k}'": None if f"{k}'" == first else first for k in ids if k is not None}
+
+
+def test_paths_without_a_scheme_mean_the_default_file_system(spark, tmp_path):
+    from moundworks.sources import store
+    assert store.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    fs, root = store.open_folder(store.qualified(spark, str(tmp_path)))
+    assert fs.type_name == "local" and root == str(tmp_path)
+    with pytest.raises(ValueError):
+        store.open_folder(str(tmp_path))
