@@ -147,8 +147,8 @@ def probes(docs: DataFrame, text: str, bitmap: np.ndarray, width: int, sizes: li
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-                  item_text: str = "text", width: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Per document: ``key``, n_words, n_hit, n_items, items_sha256, contaminated, items.
+                  item_text: str = "text", width: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS, with_items: bool = True) -> DataFrame:
+    """Per document: ``key``, n_words, n_hit, n_items, items_sha256, contaminated and, ``with_items``, items.
 
     A window is ``width`` consecutive words of an item; an item of fewer words, but not
     none, is one window. A word of the document inside any occurrence of a window is
@@ -157,29 +157,40 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     One row per input row, repeated rows and null keys too. Null and empty texts have
     no words and no hits; null and empty items have no windows. Repeated item rows
     count as one item; a null item id counts as the text "null". With no items nothing
-    is hit; an empty table gives no rows. Other columns, whatever they are called, are
-    not read.
+    is hit; an empty table gives no rows. Texts of any length are taken whole. Other
+    columns, whatever they are called, are not read.
     """
-    scanned, verdicts = _verdicts(docs, items, key, text, item_key, item_text, width, shingle_words)
+    scanned, verdicts, lists = _verdicts(docs, items, key, text, item_key, item_text, width, shingle_words)
     n_hit, names = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
-    return scanned.join(verdicts, ["_row", "_check"], "left").select(
-        F.col("_id").alias(key), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), names.alias("items"),
+    told = lists if with_items else lists.drop("items")
+    return scanned.join(verdicts, ["_row", "_check"], "left").join(told, "held", "left").select(
+        F.col("_id").alias(key), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *([names.alias("items")] if with_items else []),
     )
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                    item_text: str = "text", width: int = WINDOW_WORDS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any word that ``contamination`` calls hit, unchanged. Columns may have any names."""
+    """The rows of ``docs`` without any word that ``contamination`` calls hit, unchanged.
+
+    Null and empty texts stay, as does everything where there are no items; repeated
+    rows stay or go together. Columns may have any names.
+    """
     plain, name = numbered_columns(docs)
-    _, verdicts = _verdicts(plain, items, name[key], name[text], item_key, item_text, width, shingle_words)
+    _, verdicts, _ = _verdicts(plain, items, name[key], name[text], item_key, item_text, width, shingle_words)
     keyed = plain.select("*", *row_keys(name[key], name[text]))
     return keyed.join(verdicts.select("_row", "_check"), ["_row", "_check"], "left_anti").drop("_row", "_check").toDF(*docs.columns)
 
 
 def _verdicts(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int,
-              shingle_words: int) -> tuple[DataFrame, DataFrame]:
-    """Every row with its n_words, and the rows with a hit: _row, _check, n_hit, items."""
+              shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row with its n_words; the rows with a hit: _row, _check, n_hit, held; and the
+    items of each value of held: items, n_items, items_sha256.
+
+    Windows with the same items are one class, and ``held`` names a set of classes, so a
+    window that all items share costs a document one class, and its list of items is
+    put together once for all documents that hold the same.
+    """
     windows = durable(item_windows(items, item_key, item_text, width, shingle_words))
     windows = windows.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("null")))
     sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle_words))).distinct().collect())  # 1 to shingle_words
@@ -207,9 +218,19 @@ def _verdicts(docs: DataFrame, items: DataFrame, key: str, text: str, item_key:
         .select("_row", "_check", "begin", "size", "win")
     )
     found = durable(placed)
-    listed = (
-        found.select("_row", "_check", "win").distinct().join(windows.select("win", "item_id").distinct(), "win")
-        .groupBy("_row", "_check").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    owners = windows.select("win", "item_id").distinct().groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    owners = durable(owners.withColumn("class", F.sha2(F.to_json("items"), 256)))
+    hold = (
+        found.select("_row", "_check", "win").distinct().join(owners.select("win", "class"), "win")
+        .groupBy("_row", "_check").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+        .withColumn("held", F.sha2(F.array_join("classes", ""), 256))
+    )
+    hold = durable(hold)
+    classes = owners.groupBy("class").agg(F.first("items").alias("items"))
+    lists = (
+        hold.groupBy("held").agg(F.first("classes").alias("classes")).select("held", F.explode("classes").alias("class")).join(classes, "class")
+        .select("held", F.explode("items").alias("item")).groupBy("held").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .withColumns({"n_items": F.size("items").cast("bigint"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     )
     spans = found.groupBy("_row", "_check").agg(F.sort_array(F.collect_set(F.struct("begin", "size"))).alias("spans"))
     covered = F.aggregate(
@@ -218,4 +239,5 @@ def _verdicts(docs: DataFrame, items: DataFrame, key: str, text: str, item_key:
             (acc["n"] + F.greatest(F.lit(0), s["begin"] + s["size"] - F.greatest(acc["end"], s["begin"]))).alias("n"),
             F.greatest(acc["end"], s["begin"] + s["size"]).alias("end")),
         lambda acc: acc["n"].cast("bigint"))
-    return scanned, spans.join(listed, ["_row", "_check"]).select("_row", "_check", covered.alias("n_hit"), "items")
+    verdicts = spans.join(hold.select("_row", "_check", "held"), ["_row", "_check"])
+    return scanned, verdicts.select("_row", "_check", covered.alias("n_hit"), "held"), lists

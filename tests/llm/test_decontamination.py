@@ -40,3 +40,12 @@ def test_hit_documents_go(spark, odd):
     kept = decontamination.uncontaminated(odd, items)
     assert kept.columns == odd.columns
     assert sorted(repr(r.text) for r in kept.collect()) == sorted(repr(r.text) for r in odd.collect() if "same20" not in (r.text or ""))
+
+
+def test_a_window_that_all_items_share(spark):
+    head = "answer the next question with one letter and nothing else at all please"
+    items = spark.createDataFrame([(k, f"{head} question {k} of many") for k in range(60)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"filler {head} tail {i}") for i in range(40)] + [(99, f"{head} question 7 of many"), (100, "clean")], "doc_id bigint, text string")
+    check(docs, items)
+    found = {r.doc_id: r for r in decontamination.contamination(docs, items).collect()}
+    assert len(found[0]["items"]) == 60 and found[0].items_sha256 == found[39].items_sha256 and found[100]["items"] == []
