@@ -38,6 +38,8 @@ GROUP_ROWS = 20_000
 SMALL_GROUP = 24
 #: Groups are gathered in so many buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
+#: Rows of the meeting table for which there is one bucket at least.
+BUCKET_ROWS = 500_000
 #: Pairs of a file that a round of label passing writes.
 ROWS_PER_FILE = 500_000
 
@@ -105,10 +107,12 @@ def tile_links(fps: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple
 
 
 def group_links(fps: np.ndarray, group: np.ndarray, radius: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of links inside each group; ``fps`` is sorted by group, then population count.
+    """Index pairs of links that connect what the links inside each group connect; ``fps`` is
+    sorted by group, then population count.
 
     Groups of up to SMALL_GROUP rows are compared all at once, each row with the
-    k-th after it; larger ones in tiles.
+    k-th after it; larger ones in tiles, whose links are merged into a spanning forest
+    tile by tile, so that a dense group never holds more of them than it has rows.
     """
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(start, len(group)))
@@ -120,7 +124,14 @@ def group_links(fps: np.ndarray, group: np.ndarray, radius: int, tile: int) -> t
         near = np.bitwise_count(fps[at] ^ fps[at + k]) <= radius
         found.append((at[near], at[near] + k))
     for low, n in zip(start[size > SMALL_GROUP], size[size > SMALL_GROUP]):
-        found += [(i + low, j + low) for i, j in tile_links(fps[low:low + n], radius, tile)]
+        root, own = np.arange(n), np.arange(n)
+        for i, j in tile_links(fps[low:low + n], radius, tile):
+            if not len(i):
+                continue
+            linked = np.flatnonzero(root != own)
+            root = forest(np.concatenate([i, linked]), np.concatenate([j, root[linked]]), n)
+        linked = np.flatnonzero(root != own)
+        found.append((linked + low, root[linked] + low))
     i, j = zip(*found)
     return np.concatenate(i), np.concatenate(j)
 
@@ -177,7 +188,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, group_row
         linked = np.flatnonzero(root != np.arange(len(values)))
         return pa.table({"a": pa.array(values[linked].view(np.int64)), "b": pa.array(values[root[linked]].view(np.int64))})
 
-    parts = BUCKETS_PER_PARTITION * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(BUCKETS_PER_PARTITION * partitions, -(-meets.count() // BUCKET_ROWS))
     return (
         grouped.withColumn("part", F.pmod(F.col("g"), F.lit(parts)).cast("int"))
         .groupBy("part").applyInArrow(compare, "a bigint, b bigint")

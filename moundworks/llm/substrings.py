@@ -39,6 +39,8 @@ PASSAGE_WORDS = 35
 FLUSH_KEYS = 1_000_000
 #: Buckets of probes for each shuffle partition: a group in memory is a part of a partition.
 BUCKETS_PER_PARTITION = 4
+#: Bytes of text for which there is one bucket at least, so that groups in memory stay of one size.
+BUCKET_BYTES = 64 << 20
 #: Bits of the bitmap of documents with hits (8 MB, whatever the size of the input).
 BITMAP_BITS = 1 << 26
 
@@ -183,14 +185,15 @@ def window_starts(lengths: np.ndarray, n_blocks: np.ndarray, blocks: np.ndarray,
 def repeated_spans(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
     """(_row, _check, spans): merged word spans covered by repeated windows, as packed int32 pairs.
 
-    ``docs`` has _row, _check, the text and ``hits``, the sorted positions of its hit blocks.
+    ``docs`` has _row, _check, the text, ``hits``, the sorted positions of its hit blocks, and
+    ``copies``, the number of rows that are equal in id and text and stand here once.
     """
     def extend(key: tuple, table: pa.Table) -> pa.Table:
         give_back()  # what the group before left
         chunk = key[0].as_py()
         table = table.sort_by([("_row", "ascending"), ("_check", "ascending")]).combine_chunks()
-        rows, checks = (table.column(c).to_numpy() for c in ("_row", "_check"))
-        keys, other, lengths = [], [], []
+        rows, checks, copies = (table.column(c).to_numpy() for c in ("_row", "_check", "copies"))
+        keys, other, lengths, owners, n_before = [], [], [], [], 0
         for batch in table.select([text, "hits"]).to_batches():
             for part in text_steps(batch, text):
                 found = split(part.column(text))
@@ -202,16 +205,18 @@ def repeated_spans(docs: DataFrame, text: str, width: int, buckets: int) -> Data
                 keys.append(window_keys(words, width)[at])
                 other.append(window_keys(words, width, second=True)[at])
                 lengths.append(found.counts)
-        keys, other, lengths = (np.concatenate(x) for x in (keys, other, lengths))
+                owners.append(doc + n_before)
+                n_before += part.num_rows
+        keys, other, lengths, owners = (np.concatenate(x) for x in (keys, other, lengths, owners))
         order = np.lexsort((keys, other))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (keys[order][1:] == keys[order][:-1]) & (other[order][1:] == other[order][:-1])
-        twice = same.copy()
-        twice[:-1] |= same[1:]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+        opens = np.flatnonzero(first)
+        places = np.add.reduceat(copies[owners][order], opens) if len(order) else copies[:0]  # of each key
         settled = np.zeros(len(order), dtype=bool)
-        settled[order] = twice
+        settled[order] = np.repeat(places > 1, np.diff(np.append(opens, len(order))))
         bucket = (other % np.uint64(buckets)).astype(np.int32)
-        told = order[twice & ~same]  # one of each settled key is enough for the others
+        told = order[opens[places > 1]]  # one of each settled key is enough for the others
         told = told[np.argsort(bucket[told], kind="stable")]
         probes = {b: k for b, k in by_bucket(bucket[told], keys[told])}
         open_ = np.flatnonzero(~settled)
@@ -273,7 +278,6 @@ def repeated_spans(docs: DataFrame, text: str, width: int, buckets: int) -> Data
         .groupBy("chunk").applyInArrow(extend, windows)
         .groupBy("bucket").applyInArrow(settle, verdicts)
         .groupBy("chunk").applyInArrow(merge, "_row bigint, _check int, spans binary")
-        .groupBy("_row", "_check").agg(F.first("spans").alias("spans"))  # repeated rows have equal spans
     )
 
 
@@ -300,12 +304,14 @@ def kept_words(text: str | None, spans: np.ndarray) -> tuple[int, int, str]:
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = PASSAGE_WORDS) -> tuple[DataFrame, np.ndarray]:
     """Spans of repeated passages per document with any, by row key, and the bitmap of those documents."""
     ship_package(docs.sparkSession)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(text, *row_keys(key, text))
+    size = keyed.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     hits = durable(anchor_hits(keyed, text, width, BUCKETS_PER_PARTITION * partitions))
     listed = hits.groupBy("_row", "_check").agg(F.sort_array(F.collect_set("at")).alias("hits"))
     candidates = only_rows(keyed, row_bitmap(hits))
-    spans = durable(repeated_spans(candidates.join(listed, ["_row", "_check"]), text, width, partitions))
+    once = candidates.groupBy("_row", "_check").agg(F.first(text).alias(text), F.count("*").alias("copies"))
+    spans = durable(repeated_spans(once.join(listed, ["_row", "_check"]), text, width, partitions))
     return spans, row_bitmap(spans)
 
 

@@ -65,3 +65,13 @@ def test_one_row_of_each_group_stays(odd):
     again = simhash.one_of_each(kept)
     assert again.count() == kept.count()
     assert kept.filter(F.col("doc_id") == 2).count() <= 1
+
+
+def test_a_dense_group_holds_a_forest_only():
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.uint64(0xABCDEF0123456789) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)))
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    i, j = simhash.group_links(fps, np.zeros(len(fps), dtype=np.int64), 2, 64)
+    assert len(i) < len(fps)
+    root = simhash.forest(i, j, len(fps))
+    assert [root[k] == root[0] for k in range(len(fps))] == [g == 0 for g in brute.linked([int(x) for x in fps])]

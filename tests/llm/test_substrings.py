@@ -41,3 +41,17 @@ def test_cut_texts_keep_the_kept_words(odd):
     want = sorted(repr((r.doc_id, r.kept_sha256)) for r in substrings.removed_words(odd).collect())
     assert sorted(repr((r.doc_id, brute.sha(" ".join(brute.words(r.text))))) for r in cut.collect()) == want
     assert cut.filter(F.col("text").isNull()).count() == odd.filter(F.col("text").isNull()).count()
+
+
+def test_very_many_copies_of_one_row(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    copies = spark.range(100_000).selectExpr("7 AS doc_id", f"'{line} end' AS text")
+    other = spark.createDataFrame([(8, f"head {line}"), (9, " ".join(f"v{i}" for i in range(60)))], "doc_id int, text string")
+    found = substrings.removed_words(copies.union(other)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(7, 61, 61, 100_000), (8, 61, 60, 1), (9, 60, 0, 1)]
+
+
+def test_groups_follow_the_bytes_of_the_input(docs, monkeypatch):
+    want = sorted(map(tuple, substrings.removed_words(docs).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 10_000)
+    assert sorted(map(tuple, substrings.removed_words(docs).collect())) == want
