@@ -87,6 +87,10 @@ class Layers:
     def tree_nodes(self) -> DataFrame:
         return durable(attribution.tree_nodes(self.fitted))
 
+    @cached_property
+    def contributions(self) -> DataFrame:
+        return durable(attribution.contributions(self.fitted, self.summary))
+
     @cached_property
     def cv(self) -> DataFrame:
         return durable(model.cv_metrics(self.folds))

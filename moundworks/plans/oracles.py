@@ -869,3 +869,30 @@ FROM named
 oracle("generate_text", ["named"], f"""
 SELECT {GAME}, concat('Report on ', {LABEL}) AS headline, CAST(NULL AS VARCHAR) AS error FROM named
 """)
+
+# --- what must hold whatever the fit was (plans/checks.py) --------------------
+
+oracle("table_replace", ["gold"], f"SELECT {GAME}, {BASE}, COALESCE(csw_rate >= 0.3, FALSE) AS was_there FROM gold")
+oracle("register_batch", ["gold"], "SELECT pitcher_id, COUNT(*) AS games, MAX(game_date) AS last_date FROM gold GROUP BY pitcher_id")
+oracle("loaded_at", ["pitches"], "SELECT pitch_id, TRUE AS after_start, TRUE AS before_now FROM pitches")
+oracle("empty_guards", ["named"], """
+SELECT 'entity_rows' AS lookup, COUNT(*) AS n FROM named WHERE pitcher_name = 'Nobody #0'
+UNION ALL SELECT 'game_rows', COUNT(*) FROM named WHERE game_pk = -1
+UNION ALL SELECT 'pitcher_card', COUNT(DISTINCT pitcher_id) FROM named WHERE pitcher_name = 'Nobody #0'
+UNION ALL SELECT 'report_without_insights', COUNT(*) FROM named
+""")
+oracle("generated_at_format", ["narratives"], f"SELECT {GAME}, TRUE AS in_form, TRUE AS recent FROM narratives")
+oracle("cv_ranges", ["folded"], """
+SELECT v.fold, (SELECT COUNT(*) FROM folded f WHERE f.val_fold < v.fold) AS n_train, v.n_val, v.val_start, v.val_end,
+  TRUE AS in_bounds, TRUE AS rounds_in_bounds
+FROM (SELECT val_fold AS fold, COUNT(*) AS n_val, MIN(game_date) AS val_start, MAX(game_date) AS val_end
+  FROM folded WHERE val_fold > 0 GROUP BY val_fold) v
+""")
+oracle("tree_shapes", ["gold"], """
+SELECT CAST(i AS INTEGER) AS tree, CASE WHEN i = 0 THEN 1.0 ELSE 0.05 END AS weight, TRUE AS binary, TRUE AS bounded FROM range(0, 400) AS x(i)
+""")
+oracle("score_rules", ["gold"], f"SELECT {GAME}, TRUE AS rate_agrees, TRUE AS score_agrees FROM gold")
+oracle("model_round_trip", ["gold"], f"SELECT {GAME}, TRUE AS agrees FROM gold")
+oracle("top_features", ["gold"], f"SELECT {GAME}, TRUE AS largest_in_order, TRUE AS own_values, TRUE AS signs_agree FROM gold")
+oracle("attribution_means", ["gold"], f"SELECT unnest([{', '.join(repr(f) for f in K.FEATURES)}]) AS feature, TRUE AS agrees")
+oracle("importance_counts", ["gold"], "SELECT TRUE AS own_counts, TRUE AS in_order, TRUE AS all_splits")

@@ -493,7 +493,7 @@ def attributions(t):
 def attribution_sums(t):
     """Contributions and base value add up to the prediction of every game."""
     rest = F.col("prediction") - F.col("base_value") - F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
-    return attribution.contributions(t.fitted, t.summary).select(*GAME_KEY, F.round(F.abs(rest), 6).alias("residue"))
+    return t.contributions.select(*GAME_KEY, F.round(F.abs(rest), 6).alias("residue"))
 
 
 @query
