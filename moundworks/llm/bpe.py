@@ -140,7 +140,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id",
 
     Returns ``key`` and the ``carry`` columns, n_tokens, ids_sha256 (of the ids as
     little-endian 32-bit integers), decoded_sha256 (of the decoded text), and the
-    token ids if asked for. A null or empty text has no tokens. Every row comes back,
+    token ids if asked for. A null or empty text has no tokens; a very long one is encoded
+    whole, and of equal merge ranks the leftmost pair goes first. Every row comes back,
     repeated rows and null keys too; an empty table gives no rows. Other columns,
     whatever they are called, are not read. The tokenizer file is sent to the
     executors by Spark, so only the driver needs to reach its path.

@@ -64,28 +64,46 @@ MIN_MATCH, MAX_GAP, MIN_COVER = 4, 25, 0.6
 class SuffixAutomaton:
     """Generalised suffix automaton of several word sequences.
 
-    ``ends[s]`` lists (sequence, position after the last word) of every occurrence of
-    the passages of state s.
+    A state's passages occur where those of the states below it in the link tree end, so
+    every occurrence is listed once, in the order of a walk over that tree, and a state
+    has a range of the list: memory grows with the words of the sequences only.
     """
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]
+        self._own: list[list[tuple[int, int]]] = [[]]
         for t, sequence in enumerate(sequences):
             state = 0
             for i, word in enumerate(sequence):
                 state = self._add(state, word)
-                self.ends[state].append((t, i + 1))
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                self.ends[self.link[s]] = list(dict.fromkeys([*self.ends[self.link[s]], *self.ends[s]]))
+                self._own[state].append((t, i + 1))
+        below: list[list[int]] = [[] for _ in self.link]
+        for s, up in enumerate(self.link):
+            if up >= 0:
+                below[up].append(s)
+        self._places: list[tuple[int, int]] = []
+        self._range = [(0, 0)] * len(self.link)
+        stack = [(0, -1)]
+        while stack:
+            s, low = stack.pop()
+            if low >= 0:  # all below is listed
+                self._range[s] = (low, len(self._places))
+                continue
+            stack.append((s, len(self._places)))
+            self._places += self._own[s]
+            stack += [(b, -1) for b in below[s]]
+
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """(sequence, position after the last word) of every occurrence of the state's passages, in order."""
+        low, high = self._range[state]
+        return sorted(self._places[low:high])
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append([])
+        self._own.append([])
         return len(self.link) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -164,7 +182,7 @@ class Scanner:
                 if length < MIN_MATCH or (i + 1 < len(stats) and stats[i + 1][1] == length + 1):
                     continue  # too short, or the next word makes it longer
                 begin, end = low + i + 1 - length, low + i + 1
-                for t, place in self.automaton.ends[state]:
+                for t, place in self.automaton.ends(state):
                     chain = open_.get(t)
                     if chain is None or begin - chain.last > MAX_GAP or place <= chain.reached:
                         if chain is not None and place <= chain.reached and length <= chain.covered and begin - chain.last <= MAX_GAP:
@@ -222,8 +240,9 @@ def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", scanner:
     word, word after the last, share) of the covered templates.
 
     A null or empty text has no words: counts and score 0, empty labels. Every row
-    comes back, repeated rows and null keys too; an empty table gives no rows. Other
-    columns, whatever they are called, are not read.
+    comes back, repeated rows and null keys too; an empty table gives no rows. Very long
+    texts are scanned whole; of several places of a passage in a template the first
+    that moves a chain on counts. Other columns, whatever they are called, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner.of())  # fixed templates: a few hundred states
     span = pa.struct([("label", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("cover", pa.float64())])

@@ -66,7 +66,8 @@ def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     slot (position in the shard by key, gapless from 0) and grown_shard (the shard
     under ``shards`` + 1).
 
-    A null key is a key like any other; a null text has no bytes: size 1, crc32 0.
+    A null key is a key like any other; a null or empty text has no bytes: size 1, crc32
+    0. Very long texts are read whole.
     Rows with one key share a shard, copies of a row get slots one after another. An
     empty table gives no rows. Other columns, whatever they are called, are not read.
     The texts are read once and only the numbers are shuffled; slots are counted in

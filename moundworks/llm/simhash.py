@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     are ``shingle_words`` words long; a shorter text is one shingle, and one without
     words (null, empty, white space) has fingerprint 0 and is linked like any other.
 
-    One row per input row: repeated rows come back repeated, in one component. A null
+    Very long texts are hashed whole, shingle by shingle; a bit set in exactly half of
+    them is 0. One row per input row: repeated rows come back repeated, in one component. A null
     key takes part but is no component_id unless all keys of its component are null.
     An empty table gives no rows. Other columns, whatever they are called, are not read.
     """
@@ -266,7 +267,8 @@ def _grouped(docs: DataFrame, key: str, text: str, shingle_words: int, radius: i
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component, unchanged: that with the smallest key (nulls last), and of
-    repeated rows any one. Columns may have any names."""
+    repeated rows any one. Null and empty texts share a fingerprint, so one of them stays. An
+    empty table keeps none. Columns may have any names."""
     plain, name = numbered_columns(docs)
     _, placed = _grouped(plain, name[key], name[text], shingle_words, radius)
     kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low._row", "low._check")

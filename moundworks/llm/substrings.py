@@ -345,7 +345,8 @@ def removed_words(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     anywhere else, in the same document or another; all occurrences go. One row per
     input row. Repeated rows are several places, so they lose all of their windows. A
     null or empty text has no words and keeps none; texts of fewer words than a
-    window stay whole. A null key is a key like any other. An empty table gives no
+    window stay whole, very long ones are taken whole. Windows are equal if two 64-bit
+    keys of their words are. A null key is a key like any other. An empty table gives no
     rows. Other columns, whatever they are called, are not read.
     """
     schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -376,8 +377,9 @@ def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """``docs`` with repeated passages cut out of the text; all other columns as they are.
 
     White space between kept words stays as it was. A document without repeats, or
-    with a null text, is unchanged; one that is all repeats keeps an empty text.
-    Columns may have any names.
+    with a null or empty text, is unchanged; one that is all repeats keeps an empty text, and
+    so do repeated rows of a window's length or more. Very long texts are cut whole. An
+    empty table gives no rows. Columns may have any names.
     """
     plain, name = numbered_columns(docs)
     column, columns = name[text], plain.columns

@@ -255,7 +255,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_
     holds are learned from, at most SAMPLE_ROWS of them, chosen by a hash of the id.
 
     One row per input row, repeated rows and null keys too. Null and empty texts have
-    all rates 0 and get the score that the model gives to that. Without labelled rows
+    all rates 0 and get the score that the model gives to that. Very long texts are
+    rated whole; equal rates get equal scores, and a row on a cut goes left. Without labelled rows
     of both kinds every score is the share of toxic ones, or 0. An empty table gives
     no rows. Other columns, whatever they are called, are not read.
     """

@@ -33,4 +33,12 @@ def test_statistics_against_plain_search():
         if length:
             passage = text[end - length:end]
             places = {(t, j) for t, s in enumerate(sequences) for j in range(length, len(s) + 1) if s[j - length:j] == passage}
-            assert set(automaton.ends[state]) == places
+            assert automaton.ends(state) == sorted(places)
+
+
+def test_occurrences_are_kept_once_whatever_repeats():
+    sequences = [[1] * 400, [1, 2] * 300]
+    automaton = licences.SuffixAutomaton(sequences)
+    assert len(automaton._places) == 1000
+    state, length = automaton.statistics([1] * 5)[-1]
+    assert length == 5 and automaton.ends(state) == [(0, i) for i in range(5, 401)]
