@@ -4,13 +4,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moundworks.sources import versions
+from moundworks.sources.json_array import read as json_array_rows
 from moundworks.sources.schemas import INSIGHT_BODY, INSIGHT_FILE, INSIGHT_KEY
 
 
 def read_insights(spark: SparkSession, path: str, json_array: bool = False) -> DataFrame:
-    """Insight rows from JSON lines, or from one pretty-printed JSON array. An array is
-    read by one task per file: keep JSON lines for volume."""
-    rows = spark.read.schema(INSIGHT_FILE).option("multiLine", json_array).json(path)
+    """Insight rows from JSON lines, or from JSON arrays, whose files are read in pieces as well."""
+    rows = json_array_rows(spark, path, INSIGHT_FILE) if json_array else spark.read.schema(INSIGHT_FILE).json(path)
     return rows.withColumn("game_date", F.to_date("game_date"))
 
 
