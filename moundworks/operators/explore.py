@@ -12,7 +12,7 @@ from moundworks import constants as K
 from moundworks import templates as words
 from moundworks.functions import rules
 from moundworks.functions.numeric import mean_of_scaled, rnd, sample_std, scaled
-from moundworks.operators.ordering import bounded_index, join_null_safe
+from moundworks.operators.ordering import join_null_safe, ordered_index
 from moundworks.operators.rolling import last_n
 from moundworks.operators.silver import one_per_player
 
@@ -85,14 +85,15 @@ def with_insight(summary: DataFrame, insights: DataFrame) -> DataFrame:
 
 def game_rows(named: DataFrame, game_pk: int | None = None, day=None) -> DataFrame:
     """Pitchers of a game, best CSW first; of every game when none is given.
-    ``csw_place`` is the place in the game."""
+    ``csw_place`` is the place in the game, counted in range slices: rows without a
+    game are one group, of any size. ``named`` should be a stored table."""
     rows = named
     if game_pk is not None:
         rows = rows.filter(F.col("game_pk") == game_pk)
     if day is not None:
         rows = rows.filter(F.col("game_date") == F.lit(day))
     order = [F.col("csw_rate").desc_nulls_last(), F.col("pitcher_id").asc()]
-    placed = bounded_index(rows, order, ["game_pk", "game_date"], "csw_place")
+    placed = ordered_index(rows, order, ["game_pk", "game_date"], "csw_place", stored=True)
     return placed.withColumn("csw_place", F.col("csw_place") + 1)
 
 

@@ -45,13 +45,15 @@ def add_pitch_key(df: DataFrame, drop_exact_duplicates: bool = False) -> DataFra
     """Deterministic ``pitch_id`` = game_pk, game_date and position in the game.
 
     The position follows the order of all columns, so a repeated download gives
-    the same ids. With ``drop_exact_duplicates`` copies of a row count once.
+    the same ids. With ``drop_exact_duplicates`` copies of a row count once. ``df`` should
+    read files, so that a repeated task sees its rows in the same order: it is scanned
+    twice and written once.
     """
     rows = df.drop("pitch_id")
     if drop_exact_duplicates:
         rows = rows.distinct()
     order = [c for c in rows.columns if c not in ("game_pk", "game_date")]
-    placed = ordered_index(rows, order, ["game_pk", "game_date"], "_pos")
+    placed = ordered_index(rows, order, ["game_pk", "game_date"], "_pos", stored=not drop_exact_duplicates)
     key = F.concat_ws("_", F.col("game_pk").cast("string"), F.col("game_date").cast("string"),
                       F.col("_pos").cast("string"))
     return placed.withColumn("pitch_id", key).drop("_pos")
