@@ -45,7 +45,7 @@ def register_batch(t):
 def loaded_at(t):
     """Load times lie between the start of the query and now."""
     begun = t.spark.sql("SELECT current_timestamp()").first()[0]
-    rows = silver.clean_pitches(t.bronze, loaded_at=True)
+    rows = silver.stamped(t.pitches)
     return rows.select("pitch_id", (F.col("loaded_at") >= F.lit(begun)).alias("after_start"), (F.col("loaded_at") <= F.current_timestamp()).alias("before_now"))
 
 
