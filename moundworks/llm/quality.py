@@ -1,30 +1,33 @@
 """Quality rules, with an isolation forest over the rule statistics.
 
 The rule statistics of every document are counted in one pass over the texts and
-stored as a narrow table. From a bounded sample of labelled rows come, for each
-rate, the bounds inside which good rows lie, and an isolation forest over how far
-rows lie outside of them: each tree cuts a few hundred rows at random values of
-random rates, and rows that end up alone after few cuts are unusual. The threshold
-on the score is calibrated on the labelled rows too. Every document is then scored,
-by numpy, from the narrow table.
+stored as a narrow table. From all labelled rows come, for each rate, the bounds
+inside which good rows lie, and an isolation forest over how far rows lie outside of
+them: each tree cuts a few hundred rows, drawn from all, at random values of random
+rates, and rows that end up alone after few cuts are unusual. The threshold on the
+score is calibrated on all labelled rows too. Every document is then scored, by
+numpy, from the narrow table.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moundworks.llm.batches import map_batches, records, text_steps, texts
+from moundworks.operators.selection import exact_quantiles
 from moundworks.sources.store import durable
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Bounds of the fit: labelled rows used, trees, and rows that a tree sees.
-SAMPLE_ROWS, TREES, TREE_ROWS = 20_000, 100, 256
+#: The forest: trees, and rows that a tree sees.
+TREES, TREE_ROWS = 100, 256
+#: Parts into which scores are cut where the threshold is looked for.
+SLICES = 200
 #: Share of the good rows that may lie outside either bound of a rate.
 TAIL = 0.0005
 #: How many bad rows must be caught for one more good row lost, as shares.
@@ -32,6 +35,7 @@ GOOD_WEIGHT = 20
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_digits", "n_punct", "n_distinct_words", "longest_word"]
+RATES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punct", "distinct", "longest", "line_length"]
 _SCHEMA = pa.schema([(c, pa.int64()) for c in BASE + MORE])
 
 
@@ -84,7 +88,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def rates(s: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's inputs: statistics made independent of the length of a text."""
+    """The forest's inputs, RATES: statistics made independent of the length of a text."""
     f = {k: np.asarray(v, dtype=np.float64) for k, v in s.items()}
     words, chars = np.maximum(f["n_words"], 1), np.maximum(f["word_chars"], 1)
     lines = np.maximum(f["n_lines"], 1)
@@ -190,36 +194,72 @@ def calibrate(scores: np.ndarray, bad: np.ndarray, good_weight: float = GOOD_WEI
     return float(at[best]) if gain[best] > 0 else np.inf
 
 
-def fit_rates(inputs: np.ndarray, bad: np.ndarray) -> AnomalyModel:
-    if bad.all():
-        return AnomalyModel(np.zeros(inputs.shape[1]), np.zeros(inputs.shape[1]))
-    model = AnomalyModel(*np.quantile(inputs[~bad], [TAIL, 1 - TAIL], axis=0))
-    model.forest = IsolationForest.fit(model.excess(inputs))
-    model.threshold = calibrate(model.score(inputs), bad)
-    return model
-
-
 def base_failed() -> Column:
     few = F.col("n_words") < MIN_WORDS
     return few | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> AnomalyModel:
-    """Model from at most ``sample_rows`` labelled rows that pass the base rules, chosen by a hash of their ids."""
+def labelled_rates(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every labelled row that passes the base rules: its rates, whether it is bad, and the
+    place of its id in a random order. Written, as the fit reads it several times."""
     labelled = (
         labels.filter(F.col("quality").isNotNull())
         .groupBy(F.col(key))
         .agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("_bad"))
     )
-    rows = (
-        stats.filter(~base_failed()).join(labelled, key)
-        .orderBy(F.xxhash64(F.col(key)), *BASE)
-        .limit(sample_rows)
-        .select(*BASE, *MORE, "_bad")
-        .toArrow()
-    )
-    inputs = rates({c: rows.column(c).to_numpy() for c in BASE + MORE})
-    return fit_rates(inputs, rows.column("_bad").to_numpy() == 1)
+    rows = stats.filter(~base_failed()).join(labelled, key).select(*BASE, *MORE, "_bad", F.xxhash64(key).alias("_order"))
+
+    def step(batch: pa.RecordBatch):
+        inputs = rates({c: batch.column(c).to_numpy() for c in BASE + MORE})
+        yield pa.RecordBatch.from_arrays([*map(pa.array, inputs.T), batch.column("_bad"), batch.column("_order")], names=[*RATES, "_bad", "_order"])
+
+    return durable(map_batches(rows, step, ", ".join(f"{c} double" for c in RATES) + ", _bad int, _order bigint"))
+
+
+def threshold(scores: DataFrame, good_weight: float = GOOD_WEIGHT, slices: int = SLICES) -> float:
+    """``calibrate`` over a table of any size, of columns score and _bad (0 or 1).
+
+    Rows are counted by score, and scores cut into slices: the counts below a score are
+    those of the slices before and of its own slice's lower scores.
+    """
+    counts = durable(scores.groupBy("score").agg(F.count_if(F.col("_bad") == 1).alias("bad"), F.count_if(F.col("_bad") == 0).alias("good")))
+    n_bad, n_good, cuts = counts.agg(F.sum("bad"), F.sum("good"), F.percentile_approx("score", [k / slices for k in range(1, slices)])).first()
+    if not n_bad or not n_good:
+        return np.inf
+    cut = counts.withColumn("_slice", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("score"))))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
+    before = cut.groupBy("_slice").agg(F.sum("bad").alias("_b"), F.sum("good").alias("_g")).select(
+        "_slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_b", "_g")])
+    lower = Window.partitionBy("_slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = cut.join(F.broadcast(before), "_slice").select("score", *[
+        (F.col(f"{c}0") + F.coalesce(F.sum(name).over(lower), F.lit(0))).alias(c) for c, name in (("_b", "bad"), ("_g", "good"))])
+    gain = (1 - F.col("_b") / n_bad) - good_weight * (1 - F.col("_g") / n_good)
+    best = below.agg(F.max(F.struct(gain.alias("gain"), "score"))).first()[0]
+    return best["score"] if best["gain"] > 0 else np.inf
+
+
+def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id") -> AnomalyModel:
+    """Model from all labelled rows that pass the base rules.
+
+    Bounds and threshold are exact over all of them. The forest's trees each see
+    ``TREE_ROWS`` rows, as the method has it; these are drawn from all rows by a hash of
+    their ids, as many as the trees can use.
+    """
+    rows = labelled_rates(stats, labels, key)
+    found = exact_quantiles(rows.filter("_bad = 0"), RATES, [TAIL, 1 - TAIL])
+    if found[RATES[0]] is None:  # no good row
+        return AnomalyModel(np.zeros(len(RATES)), np.zeros(len(RATES)))
+    model = AnomalyModel(*np.array([found[c] for c in RATES]).T)
+    drawn = rows.orderBy("_order", *RATES).limit(TREES * TREE_ROWS).select(*RATES).toArrow()
+    model.forest = IsolationForest.fit(model.excess(np.column_stack([drawn.column(c).to_numpy() for c in RATES])))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def step(batch: pa.RecordBatch):
+        score = shared.value.score(np.column_stack([batch.column(c).to_numpy() for c in RATES]))
+        yield pa.RecordBatch.from_arrays([pa.array(score), batch.column("_bad")], names=["score", "_bad"])
+
+    model.threshold = threshold(map_batches(rows.select(*RATES, "_bad"), step, "score double, _bad int"))
+    return model
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stats: DataFrame | None = None) -> DataFrame:
