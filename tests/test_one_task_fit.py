@@ -5,13 +5,14 @@ from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from moundworks.constants import TARGET
-from moundworks.operators import boosting, model
-from moundworks.sources.store import durable, scratch_path
+from moundworks.operators import attribution, boosting, model
+from moundworks.sources.store import drop_paths, durable, scratch_path
 
 SETTINGS = {**model.PARAMS, "maxIter": 7}
 
@@ -67,6 +68,17 @@ def test_a_fit_takes_few_jobs(spark):
     assert 0 < len(sc.statusTracker().getJobIdsForGroup("a fit")) <= 20
 
 
+def test_nodes_are_read_where_the_fit_wrote_them(spark, monkeypatch):
+    fitted = boosting.Boosting(own(SETTINGS)).fit(rows(spark, 300, 1))
+    whole, saved = PipelineModel([fitted]), []
+    write = fitted.write
+    monkeypatch.setattr(fitted, "write", lambda: saved.append(True) or write())
+    first = attribution.tree_nodes(whole).orderBy("tree", "id").collect()
+    assert len(first) > 7 and not saved
+    drop_paths(spark, [fitted.saved_at])
+    assert attribution.tree_nodes(whole).orderBy("tree", "id").collect() == first and saved
+
+
 @pytest.mark.parametrize("settings, most", [({}, 499), ({"lossType": "absolute"}, 500), ({"minInfoGain": 0.1}, 500), ({"featureSubsetStrategy": "sqrt"}, 500)])
 def test_larger_tables_and_other_settings_go_to_sparks_fit(spark, monkeypatch, settings, most):
     monkeypatch.setattr(boosting, "ONE_TASK_ROWS", most)
